@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from captionforge.llm import quality
+from captionforge.llm import byte_bpe, fingerprints, packing, quality, secrets
 
-MODULES = (quality,)
+MODULES = (packing, fingerprints, quality, byte_bpe, secrets)
 
 
 def queries() -> dict:
