@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from captionforge.llm import byte_bpe, fingerprints, packing, quality, secrets
+from captionforge.llm import byte_bpe, fingerprints, hmm, packing, quality, secrets
 
-MODULES = (packing, fingerprints, quality, byte_bpe, secrets)
+MODULES = (packing, fingerprints, quality, byte_bpe, hmm, secrets)
 
 
 def queries() -> dict:
