@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from captionforge.llm.common import table
+from captionforge.llm.common import small_batches, table
 
 BLOCK = 8  # bits of a rank below the top bitmap
-CACHED = 300_000  # pre-tokens that a worker remembers before it starts anew
+CACHED = 200_000  # pre-tokens that a worker remembers before it starts anew
 RUN = 50_000  # pre-tokens of a very long text at a time
 LONG = 1 << 20
-SLICE = 4 << 20  # characters of text worked on at once
+SLICE = 1 << 20  # characters of text worked on at once
 
 
 class RankQueue:
@@ -150,6 +150,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
                 parts = [encode_text(t or "", path, pattern) for t in batch.column(text).to_pylist()]
                 yield with_list(batch, [f.name for f in kept], ids, parts)
 
+    small_batches(docs)
     return docs.mapInArrow(run, schema)
 
 
@@ -193,6 +194,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded
                     out.append(None)
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(out, pa.binary())], names=[*names, decoded])
 
+    small_batches(rows)
     return rows.mapInArrow(run, schema)
 
 

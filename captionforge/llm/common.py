@@ -35,6 +35,13 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> None:
+    """Sends Python workers fewer rows at a time (never more than the session says), to bound their memory."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "10000")) <= rows:
+        conf.set(name, str(rows))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once for the row, however often ``body`` uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
