@@ -165,7 +165,9 @@ def assess(docs: DataFrame, rules: Rules = Rules(), refs: DataFrame | None = Non
 
 def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the columns of ``docs``."""
-    return assess(docs, rules).filter(f"{_Q}kept").select(*docs.columns)
+    out = assess(docs, rules)
+    # a filter would be pushed below the measurements and repeat them; a generator stays above
+    return out.select(*docs.columns, F.explode(F.when(F.col(f"{_Q}kept"), F.array(F.lit(1)))).alias(f"{_Q}go")).drop(f"{_Q}go")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
