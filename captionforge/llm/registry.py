@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from captionforge.llm import byte_bpe, fingerprints, hmm, jaccard, lines, packing, quality, secrets
+from captionforge.llm import byte_bpe, fingerprints, hmm, jaccard, lines, packing, quality, secrets, substrings
 
-MODULES = (packing, fingerprints, lines, quality, byte_bpe, hmm, secrets, jaccard)
+MODULES = (packing, fingerprints, lines, quality, byte_bpe, substrings, hmm, secrets, jaccard)
 
 
 def queries() -> dict:
