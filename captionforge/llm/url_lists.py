@@ -89,11 +89,11 @@ hosts AS (SELECT DISTINCT host AS pattern FROM captures WHERE host IS NOT NULL),
 domains AS (SELECT DISTINCT regexp_replace(pattern, '^[^.]+\\.', '') AS pattern FROM hosts),
 picked AS (SELECT pattern FROM hosts WHERE {_sql_number('host')} % 5 = 0 UNION SELECT pattern FROM domains WHERE {_sql_number('domain')} % 9 = 0),
 changes AS (
-  SELECT pattern, 'add' AS action, {_SQL_DAY.format(_FIRST)} AS at FROM picked
+  SELECT pattern, 'add' AS action, {_SQL_DAY.format(_FIRST)} AS moment FROM picked
   UNION SELECT pattern, 'remove', {_SQL_DAY.format(f'{_FIRST} + {_GAP}')} FROM picked WHERE {_sql_number('out')} % 3 > 0
   UNION SELECT pattern, 'add', {_SQL_DAY.format(f'{_FIRST} + {_GAP} + 3')} FROM picked WHERE {_sql_number('again')} % 3 = 0),
-dated AS (SELECT *, lead(at) OVER (PARTITION BY pattern ORDER BY at, action DESC) AS until FROM changes),
-active AS (SELECT pattern, at AS since, until FROM dated WHERE action = 'add'),
+dated AS (SELECT *, lead(moment) OVER (PARTITION BY pattern ORDER BY moment, action DESC) AS until FROM changes),
+active AS (SELECT pattern, moment AS since, until FROM dated WHERE action = 'add'),
 hits AS (
   SELECT c.page_id, a.pattern, a.since, row_number() OVER (PARTITION BY c.page_id ORDER BY length(a.pattern) DESC, a.pattern DESC, a.since DESC) AS k
   FROM captures c JOIN active a ON (c.host = a.pattern OR ends_with(c.host, '.' || a.pattern)) AND a.since <= c.fetched AND (a.until IS NULL OR c.fetched < a.until))
