@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from captionforge.llm import byte_bpe, fingerprints, hmm, jaccard, lines, packing, quality, secrets, substrings, url_lists
+from captionforge.llm import byte_bpe, fingerprints, hmm, jaccard, lines, packing, quality, secrets, sql, substrings, url_lists
 
 MODULES = (packing, url_lists, fingerprints, lines, quality, byte_bpe, substrings, hmm, secrets, jaccard)
 
@@ -12,4 +12,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for m in MODULES for k, v in getattr(m, "ORACLES", {}).items()}
+    return {k: v for m in MODULES for k, v in getattr(m, "ORACLES", {}).items()} | sql.ORACLES
