@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,42 +25,61 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from captionforge.llm.byte_bpe import sliced
-from captionforge.llm.common import keep, table
+from captionforge.llm.common import keep, small_batches, table
 
 LENGTH = 2048
 END = 1
-CACHED = 300_000  # words, and as many stems, that a worker remembers before it starts anew
+CACHED = 150_000  # words in each of two generations that a worker remembers
+#: Letters that neither normalising nor lower-casing joins with or splits from their neighbours, then ASCII.
+SIMPLE = re.compile("([A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+)([\x00-\x40\x5b-\x60\x7b-\x7f]?[\x00-\x7f]*)")
+WORD_END = b"\xff"  # a byte that UTF-8 doesn't use
 
 
 class Words(dict):
-    """A word (no ASCII white space in it) to its ids as little-endian 32-bit bytes.
+    """Ids of words without ASCII white space, as little-endian 32-bit bytes.
 
-    This tokenizer drops white space and never merges across it, nor across the edge between the letters that begin
-    an ASCII word and what follows them, so both parts are looked up on their own.
+    This tokenizer drops white space and never merges across it, nor across the edge between a word's first letters
+    and ASCII that follows. Letters alone are one pre-token; its merges, which were learned in the order of their ids,
+    are those of rank-ordered byte pairs with an end-of-word byte, so the faster library does them. Everything else
+    goes through the tokenizer itself. What the last generation of words didn't use is forgotten.
     """
 
     def __init__(self, path: str) -> None:
+        import json
+
+        import tiktoken
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
+        self.old: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.stems: dict[bytes, bytes] = {}
-
-    def part(self, word: bytes) -> bytes:
-        ids = self.stems.get(word)
-        if ids is None:
-            if len(self.stems) >= CACHED:
-                self.stems.clear()
-            self.stems[word] = ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<i4").tobytes()
-        return ids
+        with open(path) as f:
+            model = json.load(f)["model"]
+        vocabulary, ending = model["vocab"], model["end_of_word_suffix"]
+        # the printed form of a byte: printable Latin-1 as it is, the rest from code point 256 on
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+        byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(plain)))}
+        assert set(byte) == set(ByteLevel.alphabet())
+        raw = lambda t: bytes(byte[c] for c in t.removesuffix(ending)) + WORD_END * t.endswith(ending)
+        ranks = {raw(t): i for t, i in vocabulary.items()}
+        merged = [vocabulary["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        assert len(ranks) == len(vocabulary) and merged == sorted(merged) and merged[0] == 512  # ids follow the merges
+        self.pairs = tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._core_bpe
+
+    def make(self, word: bytes) -> bytes:
+        text = word.decode()
+        if m := SIMPLE.fullmatch(text):
+            letters, rest = m.groups()
+            ids = array("i", self.pairs.encode_single_piece(letters.lower().encode() + WORD_END)).tobytes()
+            return ids + self[rest.encode()] if rest else ids
+        return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= CACHED:
+            self.old = dict(self)
             self.clear()
-        if word.isascii() and (m := re.match(rb"[A-Za-z]+", word)):
-            ids = self.part(m.group().lower()) + (self.part(word[m.end() :]) if m.end() < len(word) else b"")
-        else:
-            ids = self.part(word)
+        ids = self.old.get(word) or self.make(word)
         self[word] = ids
         return ids
 
@@ -77,7 +97,7 @@ def tokenize(docs: DataFrame, path: str, end: int = END) -> DataFrame:
         known, task, at = known_words(path), TaskContext.get().partitionId(), 0
         for whole in batches:
             for batch in sliced(whole, "text"):
-                parts = [b"".join([known[w] for w in (t or "").encode().split()]) + close for t in batch.column("text").to_pylist()]
+                parts = [b"".join(map(known.__getitem__, (t or "").encode().split())) + close for t in batch.column("text").to_pylist()]
                 offsets = np.zeros(len(parts) + 1, "<i4")
                 np.cumsum([len(p) // 4 for p in parts], out=offsets[1:])
                 values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(parts))])
@@ -87,6 +107,7 @@ def tokenize(docs: DataFrame, path: str, end: int = END) -> DataFrame:
                     [batch.column("doc_id"), pa.array(np.full(len(parts), task, "i4")), pa.array(starts), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["doc_id", "task", "at", "ids"]
                 )
 
+    small_batches(docs)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, task int, at long, ids array<int>")
 
 
