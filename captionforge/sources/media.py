@@ -1,4 +1,4 @@
-"""Media catalogue: paths and sizes, no bytes read."""
+"""Media catalogue: paths and sizes, no bytes read. Spark doesn't list files of no bytes."""
 
 from __future__ import annotations
 
