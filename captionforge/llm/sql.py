@@ -101,4 +101,29 @@ lists AS (SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (k
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN lists USING (rid)
 """
 
-ORACLES = {"op3_fingerprints": FINGERPRINTS, "op5_quality_rules": QUALITY, "op9_secrets": SECRETS}
+SUBSTRINGS = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_W}') AS ws FROM documents),
+starts AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM d WHERE len(ws) >= 20),
+grams AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 19], ' ')) AS h FROM starts),
+again AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS r FROM grams) WHERE r > 1),
+words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS k FROM d),
+marks AS (SELECT words.*, CASE WHEN again.i IS NULL THEN 0 ELSE 1 END AS f FROM words LEFT JOIN again ON again.doc_id = words.doc_id AND again.i = words.k),
+spans AS (SELECT doc_id, w, k, max(f) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS g FROM marks),
+left_ AS (SELECT doc_id, count(*) FILTER (g = 1) AS n_removed, string_agg(w, ' ' ORDER BY k) FILTER (g = 0) AS kept FROM spans GROUP BY doc_id)
+SELECT d.doc_id, len(d.ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN left_ ON left_.doc_id = d.doc_id
+"""
+
+_SMALL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+JACCARD = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_SMALL}, '{_W}') AS ws FROM documents),
+sets AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s FROM d)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, l.b FROM reach r JOIN both_ways l ON l.a = r.other),
+least_ AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d LEFT JOIN sizes ON sizes.doc_id = d.doc_id JOIN least_ ON least_.doc_id = d.doc_id
+"""
+
+ORACLES = {"op3_fingerprints": FINGERPRINTS, "op5_quality_rules": QUALITY, "op7_substring_dedup": SUBSTRINGS, "op9_secrets": SECRETS, "op10_jaccard_join": JACCARD}
