@@ -6,10 +6,9 @@ their prefixes of n - ceil(t n) + overlap elements share at least ``overlap``. R
 corpus's most frequent shingles comes last, the rest in order of their hashes. Each prefix shingle is a block.
 
 A block's least class is its first pivot. Links to pivots make components; only blocks with several components are
-joined further. Small ones are joined in full. In a larger one, sixteen pivots divide the metric space (Jaccard
-distance is a metric): a class goes to the Voronoi region of its nearest pivot and, by the triangle inequality, to
-every region whose pivot is at most twice the threshold distance further; those far from all pivots form one more
-region. Regions are joined the same way until each is small or one component. No pair within the threshold is lost,
+joined further. Small ones are joined in full. Larger ones form families, and pivots divide a family's metric space
+(Jaccard distance is a metric) into Voronoi regions, these into cells of bounded size; triangle-inequality windows
+bring to each cell the boundary classes from elsewhere that could link into it. No pair within the threshold is lost,
 and pairs inside a component are never built.
 
 Null and empty texts have no shingle and link with nothing; each is its own component. Repeated rows, and ties, belong
@@ -26,6 +25,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,7 +43,9 @@ class Join:
     frequent: int = 1 << 17  # shingles in the list of those that come last (1.2 MB)
     local: int = 4  # documents of one task's run that hold a shingle, for it to be counted
     small_block: int = 32
-    pivots: int = 16
+    pivots: int = 8
+    cell: int = 256  # classes of a region that are joined together
+    part: int = 1024  # and with so many others
 
     @property
     def distance(self) -> float:
@@ -176,48 +178,90 @@ def link_classes(members: DataFrame, texts: DataFrame, p: Join) -> DataFrame:
     votes = open_.filter("cid <> pivot").groupBy("cid", "n", "pivot").agg(F.count("*").alias("votes")).filter(F.col("votes") >= needed_overlap(F.col("n")))
     stars = votes.groupBy("cid").agg(F.max(F.struct("votes", "pivot")).alias("best")).select(F.col("best.pivot").alias("a"), F.col("cid").alias("b"))
     links = keep(compared(stars, texts, p).filter(close).select("a", "b"), "jaccard-links")
-    open_, first = open_.select("block", "cid", "n"), True
-    while True:
-        comps = components(links, "jaccard")
-        labelled = open_.join(comps.withColumnRenamed("node", "cid"), "cid", "left").select("block", "cid", "n", F.coalesce("comp", "cid").alias("comp"))
-        mixed = labelled.groupBy("block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).filter("lo < hi").select("block", "m")
-        open_ = keep(labelled.join(mixed, "block"), "jaccard-open")
-        if open_.isEmpty():
-            return comps.withColumnRenamed("node", "cid")
-        small, large = open_.filter(F.col("m") <= p.small_block), keep(open_.filter(F.col("m") > p.small_block).select("block", "cid", "n"), "jaccard-large")
-        side = lambda x: small.select("block", F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("comp").alias(f"c{x}"))
-        size_fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * p.percent
-        pairs = side("a").join(side("b"), "block").filter("a < b and ca <> cb").filter(size_fits).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("votes"))
-        if first:  # a pair that also shares a large block is met there, so all that it shares is counted here
-            pairs = pairs.filter(F.col("votes") >= needed_overlap(F.least("na", "nb")))
-        found = compared(pairs.select("a", "b"), texts, p).filter(close).select("a", "b")
-        if large.isEmpty():
-            links = keep(links.unionByName(found), "jaccard-links")
-            return components(links, "jaccard").withColumnRenamed("node", "cid")
-        rank = F.row_number().over(Window.partitionBy("block").orderBy("cid"))
-        chosen = keep(large.select("block", "cid").distinct().withColumn("k", rank).filter(F.col("k") <= p.pivots).select("block", F.col("cid").alias("pivot")), "jaccard-pivots")
-        met = large.join(chosen, "block").filter("cid <> pivot").select("block", "cid", "n", "pivot")
-        distances = keep(compared(met.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct(), texts, p), "jaccard-distances")
-        links = keep(links.unionByName(found).unionByName(distances.filter(close).select("a", "b")), "jaccard-links")
-        open_ = keep(regions(met, chosen, distances, p), "jaccard-regions")
-        first = False
-
-
-def regions(met: DataFrame, chosen: DataFrame, distances: DataFrame, p: Join) -> DataFrame:
-    """Blocks of the next round: Voronoi regions with their boundary classes, and one of classes far from all pivots.
-
-    Of two classes within ``distance``, take the one nearer to a pivot. If it is within ``reach`` - ``distance`` of it,
-    the other is within ``reach``, and at most 2 * ``distance`` further from it than from its own nearest pivot: both are
-    in that pivot's region. Else both are in the far region. Pivots have met every class of their block and leave.
+    comps = components(links, "jaccard")
+    labelled = open_.select("block", "cid", "n").join(comps.withColumnRenamed("node", "cid"), "cid", "left").select("block", "cid", "n", F.coalesce("comp", "cid").alias("comp"))
+    mixed = labelled.groupBy("block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).filter("lo < hi").select("block", "m")
+    open_ = keep(labelled.join(mixed, "block"), "jaccard-open")
+    small, large = open_.filter(F.col("m") <= p.small_block), open_.filter(F.col("m") > p.small_block)
+    side = lambda x: small.select("block", F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("comp").alias(f"c{x}"))
+    pairs = side("a").join(side("b"), "block").filter("a < b and ca <> cb").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * p.percent)
+    # a pair that also shares a large block is met there, so all that it shares is counted here
+    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("votes")).filter(F.col("votes") >= needed_overlap(F.least("na", "nb")))
+    found = compared(pairs.select("a", "b"), texts, p).filter(close).select("a", "b").unionByName(in_regions(large, texts, p))
+    links = keep(links.unionByName(found), "jaccard-links")
+    return components(links, "jaccard").withColumnRenamed("node", "cid")
+
+
+def in_regions(large: DataFrame, texts: DataFrame, p: Join) -> DataFrame:
+    """Links (a, b) between components in large blocks, enough of them to join all that any link joins.
+
+    Blocks that share classes form a family. A family's classes have their distances from its pivots. Those outside
+    its largest component are dealt to the Voronoi regions of their nearest pivots, in cells of a bounded number. By
+    the triangle inequality a class can only link into a cell if it is, for every pivot, within the threshold distance
+    of the cell's own range of distances: to those cells it goes, in bounded parts. Every cell and part is one join.
     """
-    reach, slack = 0.5, 1e-9
-    known = distances.select("a", "b", (1 - F.col("both") / F.col("either")).alias("d"))
-    rows = met.withColumns({"a": F.least("cid", "pivot"), "b": F.greatest("cid", "pivot")}).join(known, ["a", "b"])
-    rows = rows.join(chosen.withColumnRenamed("pivot", "cid"), ["block", "cid"], "left_anti")
-    by_class = rows.groupBy("block", "cid", "n").agg(F.collect_list(F.struct("pivot", "d")).alias("ds"), F.min("d").alias("best"))  # at most 16 pivots
-    near = F.transform(F.filter("ds", lambda x: (x["d"] <= reach + slack) & (x["d"] <= F.col("best") + 2 * p.distance + slack)), lambda x: x["pivot"])
-    far = F.when(F.col("best") > reach - p.distance - slack, F.array(F.lit(None).cast("long"))).otherwise(F.array().cast("array<bigint>"))
-    return by_class.select("cid", "n", F.explode(F.concat(near, far)).alias("cell"), "block").select(F.xxhash64("block", F.coalesce("cell", F.lit(0)), F.col("cell").isNull()).alias("block"), "cid", "n")
+    by_family = components(large.select(F.xxhash64("block", F.lit("block")).alias("a"), F.col("cid").alias("b")), "jaccard-families")
+    members = large.select("cid", "n", "comp").distinct().join(by_family.select(F.col("node").alias("cid"), F.col("comp").alias("family")), "cid")
+    members = keep(members, "jaccard-family")
+    sizes = members.groupBy("family", "comp").agg(F.count("*").alias("m"))
+    major = sizes.groupBy("family").agg(F.max(F.struct("m", "comp")).alias("major")).select("family", F.col("major.comp").alias("major"))
+    rank = F.row_number().over(Window.partitionBy("family").orderBy("cid"))
+    pivots = keep(members.select("family", "cid").withColumn("k", rank).filter(F.col("k") <= p.pivots).select("family", F.col("cid").alias("pivot"), "k"), "jaccard-pivots")
+    met = members.join(pivots, "family").filter("cid <> pivot").select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
+    known = compared(met, texts, p).select("a", "b", (1 - F.col("both") / F.col("either")).alias("d"))
+    known = keep(known.unionByName(pivots.select(F.col("pivot").alias("a"), F.col("pivot").alias("b"), F.lit(0.0).alias("d"))), "jaccard-distances")
+    away = members.join(pivots, "family").withColumns({"a": F.least("cid", "pivot"), "b": F.greatest("cid", "pivot")}).join(known, ["a", "b"])
+    away = away.groupBy("family", "cid", "n", "comp").agg(F.array_sort(F.collect_list(F.struct("k", "d"))).alias("at"))  # of at most ``pivots``
+    away = keep(away.withColumn("at", F.transform("at", lambda x: x["d"])), "jaccard-away")
+
+    home = F.array_position("at", F.array_min("at"))
+    others = away.join(major, "family").filter("comp <> major").withColumn("home", home)
+    order = Window.partitionBy("family", "home").orderBy("cid")
+    others = keep(others.withColumn("cell", F.floor((F.row_number().over(order) - 1) / p.cell)).select("family", "home", "cell", "cid", "comp", "at"), "jaccard-cells")
+    each = others.select("family", "home", "cell", F.posexplode("at").alias("k", "d")).groupBy("family", "home", "cell", "k").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+    boxes = each.groupBy("family", "home", "cell").agg(F.array_sort(F.collect_list(F.struct("k", "lo", "hi"))).alias("box"))
+    part = F.pmod(F.xxhash64("cid"), F.greatest(F.ceil(F.col("size") / p.part), F.lit(1)))
+    sized = away.join(members.groupBy("family").agg(F.count("*").alias("size")), "family").withColumn("part", part)
+    fits = F.forall(F.arrays_zip("at", "box"), lambda x: (x["at"] >= x["box"]["lo"] - p.distance - 1e-9) & (x["at"] <= x["box"]["hi"] + p.distance + 1e-9))
+    asked = keep(sized.join(boxes, "family").filter(fits).select("family", "home", "cell", "part", "cid", "comp"), "jaccard-asked")
+    parts = asked.select("family", "home", "cell", "part").distinct()
+    rows = asked.withColumn("own", F.lit(False)).unionByName(others.join(parts, ["family", "home", "cell"]).select("family", "home", "cell", "part", "cid", "comp").withColumn("own", F.lit(True)))
+    rows = rows.join(texts, "cid")
+
+    def join(table: pa.Table) -> pa.Table:
+        press = zstandard.ZstdDecompressor()
+        groups: dict[int, int] = {}
+
+        def group(x: int) -> int:
+            while (y := groups.get(x, x)) != x:
+                x = y
+            return x
+
+        out: list[tuple[int, int]] = []
+        own = table.filter(table["own"])
+        ids, comps = own["cid"].to_pylist(), own["comp"].to_pylist()
+        sets = shingle_sets([press.decompress(x).decode() for x in own["packed"].to_pylist()], p.words)
+        size = np.array([len(x) for x in sets], "i8")
+        tokens, owner = np.concatenate([*sets, np.zeros(0, "u8")]), np.repeat(np.arange(len(sets)), size)
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], owner[order]
+        others = table.filter(pc.invert(table["own"]))
+        for start in range(0, others.num_rows, 200):
+            some = others.slice(start, 200)
+            asked = shingle_sets([press.decompress(x).decode() for x in some["packed"].to_pylist()], p.words)
+            for cid, comp, x in zip(some["cid"].to_pylist(), some["comp"].to_pylist(), asked, strict=True):
+                lo, hi = np.searchsorted(tokens, x), np.searchsorted(tokens, x, "right")
+                n = hi - lo
+                hits = owner[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                both = np.bincount(hits, minlength=len(sets))
+                for k in np.flatnonzero((both > 0) & (both * 100 >= (size + len(x) - both) * p.percent)).tolist():
+                    a, b = group(comp), group(comps[k])
+                    if a != b:
+                        groups[a] = b
+                        out.append((cid, ids[k]))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return rows.groupBy("family", "home", "cell", "part").applyInArrow(join, "a long, b long")
 
 
 def components_of(docs: DataFrame, p: Join = Join()) -> DataFrame:

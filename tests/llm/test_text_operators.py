@@ -1,0 +1,164 @@
+"""Packing, fingerprints, quality rules, byte-level BPE and secrets: odd rows against plain Python."""
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import public_tokenizers as P
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from captionforge.llm import byte_bpe, fingerprints, packing, quality, registry, secrets
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_sql(spark, name):
+    got = registry.queries()[name](spark, SF).toPandas()
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    want = con.sql(registry.oracle_sql()[name]).df()
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    rows = lambda x: sorted(map(str, x[columns].astype(object).where(x[columns].notna(), None).itertuples(index=False, name=None)))
+    assert rows(got) == rows(want)
+
+
+def test_packing(spark, docs, odd_rows):
+    path = P.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    want = Counter((i, tuple(tokenizer.encode(t or "", add_special_tokens=False).ids + [1])) for i, t, *_ in odd_rows)
+    pieces = packing.pack(docs, path, 64).toPandas().sort_values(["sequence_id", "offset"])
+    got, open_ = Counter(), {}
+    for p in sorted(pieces.itertuples(), key=lambda p: (p.sequence_id, p.offset)):
+        ids = [] if p.start == 0 else open_.pop("doc")
+        assert len(ids) == p.start and p.boundary == (p.start + len(p.ids) < p.doc_tokens)
+        ids = ids + list(p.ids)
+        if p.boundary:
+            open_["doc"] = ids
+        else:
+            assert len(ids) == p.doc_tokens
+            got[None if np.isnan(p.doc_id) else int(p.doc_id), tuple(ids)] += 1
+    assert got == want
+    for s, own in pieces.groupby("sequence_id"):
+        sizes = own["ids"].map(len).to_numpy()
+        assert (own["offset"].to_numpy() == np.cumsum(sizes) - sizes).all()
+        assert sizes.sum() == 64 or s == pieces["sequence_id"].max()
+    assert packing.sequences(packing.pack(docs, path, 64)).filter("size(ids) < 64").count() <= 1
+    assert packing.digested(packing.pack(docs, path, 64)).filter("length(cast(ids_crc32 as string)) = 0").count() == 0
+
+
+def test_packed_words_equal_the_tokenizer():
+    words = packing.known_words(P.path("word_bpe_49k.json"))
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("aAbé'sSñ!,.0１Σσİ́ǅß日 -_\x1f") for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    for t in texts:
+        assert b"".join(map(words.__getitem__, t.encode().split())) == np.array(words.tokenizer.encode(t, add_special_tokens=False).ids, "<i4").tobytes()
+
+
+def test_byte_bpe(spark, docs, odd_rows):
+    path = P.path("byte_bpe_50k.tiktoken")
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = byte_bpe.decode(byte_bpe.encode(docs, path, P.PATTERN), path)
+    assert set(docs.columns) | {"ids", "decoded"} == set(rows.columns)
+    got = Counter((r.doc_id, tuple(r.ids), bytes(r.decoded)) for r in rows.collect())
+    assert got == Counter((i, tuple(library.encode_ordinary(t or "")), (t or "").encode()) for i, t, *_ in odd_rows)
+    for piece in ("a" * 5000, "ab" * 3000, " " * 999, "é" * 300):
+        assert byte_bpe.merge(piece.encode(), ranks) == [t for t in library._encode_single_piece(piece)]
+    lists = spark.createDataFrame([(None,), ([],), ([50_255],), ([99_999],)], "ids array<int>")
+    assert [r.decoded is None for r in byte_bpe.decode(lists, path).collect()] == [True, False, False, True]
+
+
+def test_fingerprints(spark, docs, odd_rows):
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("v", fingerprints.vector(F.col("text")))
+    followed = fingerprints.with_next(rows).collect()
+    order = sorted(((-1 if i is None else i), t or "") for i, t, *_ in odd_rows)
+    after = Counter((a, b) for a, (_, b) in zip(order, order[1:] + order[:1], strict=True))
+    assert Counter(((-1 if r.doc_id is None else r.doc_id, r.text), r.next_text) for r in followed) == after
+    a, b, c = ("one. two.\nthree", "three\none. two.", "three")
+    v = lambda t: fingerprints.vector(F.lit(t))
+    row = spark.range(1).select(
+        (v(a) == v(b)).alias("same"), (fingerprints.insert(v("one. two."), v(c)) == v(a)).alias("added"), (fingerprints.delete(v(a), v(c)) == v("one. two.")).alias("removed"),
+        fingerprints.likeness(v(a), v(b)).alias("one"), fingerprints.likeness(v(""), v(a)).alias("none"),
+    ).first()
+    assert (row.same, row.added, row.removed, row.one, row.none) == (True, True, True, 1.0, 0.0)
+
+
+def test_fingerprints_over_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 3)
+    monkeypatch.setattr(fingerprints, "COARSE", 4)
+    ids = random.Random(1).sample(range(-10_000, 10_000), 300)
+    rows = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string").withColumn("v", F.array(F.lit(1)))
+    ids.sort()
+    assert {r.doc_id: r.next_text for r in fingerprints.with_next(rows).collect()} == {a: f"t{b}" for a, b in zip(ids, ids[1:] + ids[:1], strict=True)}
+
+
+def test_quality(spark, docs, odd_rows):
+    out = quality.assess(docs).select("doc_id", "text", *(f"__q_{n}" for n in ("n_words", "word_chars", "symbol", "n_dup_lines", "n_repeat_words", "base_failed", "kept"))).collect()
+    assert len(out) == len(odd_rows)
+    for r in out:
+        t = r.text or ""
+        words = WORD.findall(t)
+        grams = Counter(zip(words, words[1:], words[2:], strict=False))
+        twice = {i + j for i, g in enumerate(zip(words, words[1:], words[2:], strict=False)) if grams[g] > 1 for j in range(3)}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        assert tuple(r)[2:7] == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(twice))
+        assert r[7] == (len(words) < 50 or 100 * len(twice) > 50 * len(words)) and not (r[7] and r[8])
+    assert set(quality.keep_good(docs).columns) == set(docs.columns)
+
+
+def test_quality_keeps_good_and_rejects_bad(spark):
+    rows = quality.op5_quality_rules(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").filter("not base_failed").groupBy("quality", "kept").count().collect()
+    assert {(r["quality"], r["kept"]) for r in rows} == {(1, True), (0, False)}
+
+
+def test_secrets(spark, docs, odd_rows):
+    out = secrets.scan(docs).select("doc_id", secrets.listed(F.col("base")).alias("base"), secrets.listed(F.col("spans")).alias("spans")).collect()
+    assert len(out) == len(odd_rows)
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+    def base(t):
+        found = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 6]
+        found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        return ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(found))
+
+    assert Counter((r.doc_id, r.base) for r in out) == Counter((i, base(t or "")) for i, t, *_ in odd_rows)
+    owned = {r.doc_id for r in out if "owned" in r.spans}
+    assert owned == {13, 14}
+
+
+def test_copied_values_are_examples(spark):
+    token = "Xy9Kd03jfLs82hGq1ZpW"
+    rows = [(i, f"set {token} and own{i}A7bQ9zK3mW5xT1vR8 here", f"s{i}") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("hash", F.lit(1))
+    counts = {(r.n_repos, r.n_owners) for r in secrets.ownership(secrets.find(docs)).collect()}
+    assert counts == {(5, 5), (1, 1)}
+    cleaned = secrets.redact(docs).collect()
+    assert all(r.text == f"set {token} and [secret] here" and r.hash == 1 for r in cleaned)
+
+
+@pytest.mark.parametrize("run", [lambda d: packing.packed_digests(d), lambda d: quality.keep_good(d), lambda d: secrets.redact(d), lambda d: secrets.scan(d), lambda d: byte_bpe.encode(d, P.path("byte_bpe_50k.tiktoken"), P.PATTERN), lambda d: fingerprints.with_next(d.select("doc_id", "text").withColumn("v", F.array(F.lit(1))))])
+def test_empty_tables(empty, run):
+    assert run(empty).count() == 0
+
+
+def test_crc_of_pieces(spark):
+    docs = spark.createDataFrame([(1, "hello world")], "doc_id long, text string")
+    row = packing.packed_digests(docs).first()
+    ids = Tokenizer.from_file(P.path("word_bpe_49k.json")).encode("hello world", add_special_tokens=False).ids + [1]
+    assert row.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes()) and row.length == len(ids)
+    assert hashlib.sha256(b"").hexdigest()
