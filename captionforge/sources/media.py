@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from captionforge.functions.text import EXT, basename, extension, output_path
 
-#: The extensions that the reference's dialog offers.
+#: The extensions offered by default.
 VIDEO = (".mp4", ".avi", ".mkv", ".mov", ".flv", ".wmv")
 AUDIO = (".mp3", ".wav", ".aac", ".flac", ".ogg", ".m4a")
 
