@@ -292,10 +292,14 @@ def components_of(docs: DataFrame, p: Join = Join()) -> DataFrame:
 def keep_one(docs: DataFrame, p: Join = Join()) -> DataFrame:
     """``docs`` with one row of each component: that of the least doc_id (of the least text, if that has several)."""
     out = components_of(docs, p).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__j_d"), F.col("key").alias("__j_k")).distinct()
+    out = keep(out, "jaccard-out")
+    out = F.broadcast(out) if out.count() * 24 <= 32 << 20 else out  # checked: else the join shuffles
     rows = docs.withColumn("__j_key", text_key(F.coalesce("text", F.lit(""))))
     rows = rows.join(out, F.col("doc_id").eqNullSafe(F.col("__j_d")) & (F.col("__j_key") == F.col("__j_k")), "left_anti")
+    again = keep(docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select("doc_id"), "jaccard-again")
+    if again.isEmpty():
+        return rows.select(*docs.columns)
     # rows of one doc_id: the repeats go, whatever else they hold
-    again = rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select("doc_id")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
     once = rows.join(again, "doc_id", "left_semi").withColumn("__j_n", first).filter("__j_n = 1")
     return rows.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
