@@ -194,6 +194,29 @@ def test_lines_odd_rows(docs, odd_rows, empty):
     assert lines.dedup(empty).count() == 0
 
 
+def variant(rng, line):
+    """One word replaced by another of like length, left out, or with a typing error."""
+    w = line.split(" ")
+    k, how = rng.randrange(len(w)), rng.randrange(4)
+    new = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in w[k])
+    return " ".join(w[:k] + [[new], [new], [], [w[k][:1] + "x" + w[k][1:]]][how] + w[k + 1 :])
+
+
+@pytest.mark.parametrize("words", [7, 15, 31])
+def test_lines_with_one_word_changed(spark, words):
+    rng = random.Random(words)
+    rows = []
+    for i in range(300):
+        line = " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(3, 10))) for _ in range(words))
+        rows += [(2 * i, line), (2 * i + 1, variant(rng, line))]
+    # all pairs by edit similarity alone; random lines of different origin are far apart
+    near = lambda a, b: levenshtein(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9)
+    want = {b[0] for a, b in zip(rows[::2], rows[1::2], strict=True) if near(a[1], b[1])}
+    assert len(want) > 280 and not any(near(rows[i][1], rows[j][1]) for i, j in zip(range(0, 600, 2), range(2, 600, 2), strict=False))
+    got = {r.doc_id for r in lines.decisions(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got <= want and len(got) >= 0.95 * len(want)
+
+
 def test_language_model(spark, docs, odd_rows, empty):
     shape = hmm.Shape(states=3, words=20, rounds=2)
     rows = docs.filter("doc_id <> 15 or doc_id is null")
