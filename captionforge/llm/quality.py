@@ -4,9 +4,9 @@ Each document's histogram of character classes and of its language's most common
 language's own histogram over the whole corpus by Jensen-Shannon distance (base 2, 0 to 1).
 
 Null text counts as empty. An empty text, or one under ``min_words``, fails the base rule. Divergence is judged only
-from ``min_judged_words`` words on. A null language is a language of its own; languages with fewer than
-``min_language_words`` words in the corpus, or beyond the ``max_languages`` largest, use the histogram of the whole
-corpus. Repeated rows each get their row; ties among common words go to the smaller word. An empty table gives an
+from ``min_judged_words`` words on. A null language is a language of its own. Every language with
+``min_language_words`` words in the corpus has its own histogram; a smaller one has too little text for any, so its
+documents have the base verdict alone, and their distances, from the whole corpus, are only shown. Repeated rows each get their row; ties among common words go to the smaller word. An empty table gives an
 empty result. Other columns pass through ``assess`` untouched.
 """
 
@@ -29,7 +29,7 @@ class Rules:
     max_word_distance: float = 0.42
     min_judged_words: int = 50
     min_language_words: int = 2000
-    max_languages: int = 64
+    max_languages: int = 64  # only the oracle SQL still has this limit
 
 
 #: Name and pattern of what is *not* in the class; lower case is the rest.
@@ -42,6 +42,7 @@ CLASSES = (
     ("odd", r"[A-Za-z0-9.,;:!?'\"()#*$%&|<>\x09-\x0D\x20\x80-\x{10FFFF}-]+"),
 )
 ALL = "*"
+SMALL = 8192  # references that may be broadcast, of one or two kilobytes each
 _Q = "__q_"
 
 
@@ -103,10 +104,7 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def references(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """One row for each of the largest languages and one for all: class shares, common words and their shares.
-
-    At most ``max_languages`` + 1 rows of a few hundred bytes, so it may be broadcast.
-    """
+    """One row for each language with enough words and one for all: class shares, common words and their shares."""
     text = text_or_empty()
     lang = F.coalesce(F.col("lang"), F.lit("")).alias("lang")
     n_classes = len(CLASSES) + 2
@@ -115,7 +113,7 @@ def references(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     counts = [F.col("inside") - sum((F.col(name) for name, _ in CLASSES), F.lit(0)), F.col("n") - F.col("inside"), *(F.col(name) for name, _ in CLASSES)]
     by_lang = base.groupBy("lang").agg(F.sum(F.size("words").cast("long")).alias("n_words"), *(F.sum(c).alias(f"c{i}") for i, c in enumerate(counts)))
     tallied = keep(by_lang, "quality-classes")
-    chosen = tallied.filter(F.col("n_words") >= rules.min_language_words).orderBy(F.desc("n_words"), "lang").limit(rules.max_languages).select("lang", "n_words", *(f"c{i}" for i in range(n_classes)))
+    chosen = tallied.filter(F.col("n_words") >= rules.min_language_words).select("lang", "n_words", *(f"c{i}" for i in range(n_classes)))
     everything = tallied.agg(F.lit(ALL).alias("lang"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("n_words"), *(F.coalesce(F.sum(f"c{i}"), F.lit(0)).alias(f"c{i}") for i in range(n_classes)))
     classes = chosen.withColumn("whole", F.lit(False)).unionByName(everything.withColumn("whole", F.lit(True)))
     classes = classes.select("whole", "lang", "n_words", shares(F.array(*(f"c{i}" for i in range(n_classes)))).alias("class_share"))
@@ -146,7 +144,8 @@ def assess(docs: DataFrame, rules: Rules = Rules(), refs: DataFrame | None = Non
     """``docs`` plus the columns ``__q_*``: counts, both distances, ``__q_base_failed`` and ``__q_kept``."""
     refs = keep(references(docs, rules) if refs is None else refs, "quality-references")
     row = F.struct("class_share", "common", "common_share")
-    own = F.broadcast(refs.filter(~F.col("whole")).select(F.col("lang").alias(f"{_Q}lang"), row.alias(f"{_Q}own")))
+    own = refs.filter(~F.col("whole")).select(F.col("lang").alias(f"{_Q}lang"), row.alias(f"{_Q}own"))
+    own = F.broadcast(own) if refs.count() <= SMALL else own  # checked: else the join shuffles
     joint = F.broadcast(refs.filter("whole").select(F.lit(1).alias(f"{_Q}one"), row.alias(f"{_Q}joint")))
     out = measured(docs).join(own, f"{_Q}lang", "left").withColumn(f"{_Q}one", F.lit(1)).join(joint, f"{_Q}one", "left")
     out = out.withColumn(f"{_Q}ref", F.coalesce(f"{_Q}own", f"{_Q}joint"))
@@ -159,7 +158,7 @@ def assess(docs: DataFrame, rules: Rules = Rules(), refs: DataFrame | None = Non
     out = out.withColumns({f"{_Q}class_distance": js_distance(F.col(f"{_Q}class_share"), F.col(f"{_Q}ref.class_share")), f"{_Q}word_distance": js_distance(F.col(f"{_Q}word_share"), F.col(f"{_Q}ref.common_share"))})
     n, repeated = F.col(f"{_Q}n_words"), F.col(f"{_Q}n_repeat_words")
     failed = (n < rules.min_words) | (100 * repeated > rules.max_repeat_percent * n)
-    odd = (n >= rules.min_judged_words) & ((F.col(f"{_Q}class_distance") > rules.max_class_distance) | (F.col(f"{_Q}word_distance") > rules.max_word_distance))
+    odd = F.col(f"{_Q}own").isNotNull() & (n >= rules.min_judged_words) & ((F.col(f"{_Q}class_distance") > rules.max_class_distance) | (F.col(f"{_Q}word_distance") > rules.max_word_distance))
     return out.withColumns({f"{_Q}base_failed": failed, f"{_Q}kept": ~failed & ~odd})
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from captionforge.llm import byte_bpe, fingerprints, packing, quality, registry, secrets
+from tests.llm.conftest import prose
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -151,6 +152,21 @@ def test_copied_values_are_examples(spark):
     assert all(r.text == f"set {token} and [secret] here" and r.hash == 1 for r in cleaned)
 
 
+def test_quality_of_many_and_of_small_languages(spark):
+    letters = [chr(c) for c in range(0x430, 0x450)]
+
+    def text(rng, stem):
+        return " ".join(rng.choice([stem + rng.choice(letters) + rng.choice(letters) for _ in range(40)]) for _ in range(60))
+
+    rng = random.Random(2)
+    rows = [(i, prose(rng, 4000).replace("\n", " "), f"big{i}") for i in range(64)]
+    own = [text(rng, "слово") for _ in range(40)]
+    rows += [(100 + i, t, "cyrillic") for i, t in enumerate(own)] + [(200, text(rng, "мало"), "tiny")]
+    out = quality.assess(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)).select("doc_id", "lang", "__q_kept", "__q_class_distance").collect()
+    assert all(r["__q_kept"] for r in out if r.lang == "tiny")
+    assert all(r["__q_class_distance"] < 0.3 for r in out if r.lang == "cyrillic")
+
+
 @pytest.mark.parametrize("run", [lambda d: packing.packed_digests(d), lambda d: quality.keep_good(d), lambda d: secrets.redact(d), lambda d: secrets.scan(d), lambda d: byte_bpe.encode(d, P.path("byte_bpe_50k.tiktoken"), P.PATTERN), lambda d: fingerprints.with_next(d.select("doc_id", "text").withColumn("v", F.array(F.lit(1))))])
 def test_empty_tables(empty, run):
     assert run(empty).count() == 0
