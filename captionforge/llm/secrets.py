@@ -2,8 +2,9 @@
 
 Three base patterns find assigned values, access keys and hexadecimal digests. Mixed tokens (20 or more characters
 with letters and digits) are further candidates. Every candidate value is counted over the corpus by distinct
-documents (repositories) and sources (owners): a value that more than ``max_owners`` owners hold is a copied example,
-the others look live. Live mixed tokens become spans of kind ``owned``; base spans stay whatever their count.
+documents (repositories) and sources (owners). A value is a copied example if more than ``max_owners`` owners hold it in
+``MIN_REPOS`` repositories or more, or if more than ``MANY_REPOS`` repositories do, of whatever owners; the others look
+live. Live mixed tokens become spans of kind ``owned``; base spans stay whatever their count.
 
 Null text counts as empty; a null source is an owner of its own. Positions are in code points, end exclusive. Rows
 equal in doc_id and text share one set of spans, so repeated rows get equal results. An empty table gives an empty
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from captionforge.llm.common import keep, let, table, text_key, text_or_empty
 
-MAX_OWNERS = 2
+MAX_OWNERS, MIN_REPOS, MANY_REPOS = 2, 5, 100
 MARK = "[secret]"
 #: The kinds in their order, their patterns (group 1: the value) and least lengths.
 KINDS = ("assign", "access", "hex", "owned")
@@ -74,7 +75,8 @@ def ownership(found: DataFrame) -> DataFrame:
 
 def live_spans(found: DataFrame, which: Column, max_owners: int = MAX_OWNERS) -> DataFrame:
     """Spans of live values among ``which``, as one array for each document and text that has any."""
-    live = ownership(found).filter(F.col("n_owners") <= max_owners).select("hash")
+    example = ((F.col("n_owners") > max_owners) & (F.col("n_repos") >= MIN_REPOS)) | (F.col("n_repos") > MANY_REPOS)
+    live = ownership(found).filter(~example).select("hash")
     each = found.select("doc_id", "key", F.explode(which).alias("span")).withColumn("hash", F.sha2("span.value", 256))
     return each.join(live, "hash", "left_semi").groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("span")).alias("live"))
 
