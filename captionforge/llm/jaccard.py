@@ -264,8 +264,8 @@ def in_regions(large: DataFrame, texts: DataFrame, p: Join) -> DataFrame:
     return rows.groupBy("family", "home", "cell", "part").applyInArrow(join, "a long, b long")
 
 
-def components_of(docs: DataFrame, p: Join = Join()) -> DataFrame:
-    """doc_id, key (of the text), n_shingles and component_id of each row; components by the links of the join."""
+def labels_of(docs: DataFrame, p: Join = Join()) -> DataFrame:
+    """doc_id, key (of the text), n (shingles) and label (of the text's component; null without shingles) of each row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", text_key(F.col("text")))
     small_batches(docs)
     found = keep(profiles(rows, p), "jaccard-profiles")
@@ -284,25 +284,38 @@ def components_of(docs: DataFrame, p: Join = Join()) -> DataFrame:
     packed = packed_texts(rows.select("doc_id", "key", "text"))
     texts = packed.join(place, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).select("cid", "packed").dropDuplicates(["cid"])
     comps = link_classes(members, keep(texts, "jaccard-texts"), p)
-    labelled = own.join(comps, "cid", "left").withColumn("label", F.coalesce("comp", "cid"))
+    return own.join(comps, "cid", "left").select("doc_id", "key", "n", F.coalesce("comp", "cid").alias("label"))
+
+
+def components_of(docs: DataFrame, p: Join = Join()) -> DataFrame:
+    """doc_id, key (of the text), n_shingles and component_id of each row; components by the links of the join."""
+    labelled = labels_of(docs, p)
     least = labelled.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
     return labelled.join(least, "label", "left").select("doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, p: Join = Join()) -> DataFrame:
-    """``docs`` with one row of each component: that of the least doc_id (of the least text, if that has several)."""
-    out = components_of(docs, p).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__j_d"), F.col("key").alias("__j_k")).distinct()
+    """``docs`` with one row of each component of texts: the least by doc_id (null last) and text key.
+
+    Texts that don't link stay, also under one doc_id. Rows equal in doc_id and text are repeats, of which one stays;
+    only rows with neither a doc_id nor a shingle all stay, as nothing tells what they repeat.
+    """
+    each = keep(labels_of(docs, p), "jaccard-labels")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    first = each.filter("label is not null").groupBy("label").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("label", "first")
+    out = each.join(first, "label").filter(~place.eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("__j_d"), F.col("key").alias("__j_k")).distinct()
     out = keep(out, "jaccard-out")
     out = F.broadcast(out) if out.count() * 24 <= 32 << 20 else out  # checked: else the join shuffles
     rows = docs.withColumn("__j_key", text_key(F.coalesce("text", F.lit(""))))
-    rows = rows.join(out, F.col("doc_id").eqNullSafe(F.col("__j_d")) & (F.col("__j_key") == F.col("__j_k")), "left_anti")
-    again = keep(docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select("doc_id"), "jaccard-again")
+    same = F.col("doc_id").eqNullSafe(F.col("__j_d")) & (F.col("__j_key") == F.col("__j_k"))
+    rows = rows.join(out, same, "left_anti")
+    again = each.filter("doc_id is not null or label is not null").groupBy(F.col("doc_id").alias("__j_d"), F.col("key").alias("__j_k")).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    again = keep(again, "jaccard-again")
     if again.isEmpty():
         return rows.select(*docs.columns)
-    # rows of one doc_id: the repeats go, whatever else they hold
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    once = rows.join(again, "doc_id", "left_semi").withColumn("__j_n", first).filter("__j_n = 1")
-    return rows.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+    first = F.row_number().over(Window.partitionBy("doc_id", "__j_key").orderBy("text"))
+    once = rows.join(again, same, "left_semi").withColumn("__j_n", first).filter("__j_n = 1")
+    return rows.join(again, same, "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

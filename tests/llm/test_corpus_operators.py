@@ -96,6 +96,15 @@ def test_jaccard_odd_rows(spark, docs, odd_rows, empty):
     assert jaccard.components_of(empty).count() == 0 and jaccard.keep_one(empty).count() == 0
 
 
+def test_keep_one_counts_texts_not_ids(spark):
+    rng = random.Random(3)
+    a, b = prose(rng, 60), "B " + prose(rng, 60)
+    near = a + " more"
+    rows = [(5, a), (5, b), (7, near), (8, b), (8, b), (None, "n " * 9), (None, "n " * 9), (None, ""), (None, "")]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, kept)) == Counter([(5, a), (5, b), (None, "n " * 9), (None, ""), (None, "")])
+
+
 def removed(rows, window):
     seen, out = {}, []
     for i, t in rows:
