@@ -226,6 +226,14 @@ def test_lines_with_one_word_changed(spark, words):
     assert got <= want and len(got) >= 0.95 * len(want)
 
 
+def test_short_and_unspaced_lines(spark):
+    wide = "今天天气很好我们一起去公园散步然后回家吃晚饭看电视睡觉明天再见"
+    changed = wide.replace("公园", "商店")
+    rows = [(1, "Read more\n\n----"), (2, "read more!\n\n----"), (3, wide), (4, wide), (5, changed), (6, "Read mode")]
+    got = {(r.doc_id, r.line_no) for r in lines.decisions(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(2, 0), (2, 2), (4, 0), (5, 0)}
+
+
 def test_language_model(spark, docs, odd_rows, empty):
     shape = hmm.Shape(states=3, words=20, rounds=2)
     rows = docs.filter("doc_id <> 15 or doc_id is null")
