@@ -6,8 +6,9 @@ language's own histogram over the whole corpus by Jensen-Shannon distance (base
 Null text counts as empty. An empty text, or one under ``min_words``, fails the base rule. Divergence is judged only
 from ``min_judged_words`` words on. A null language is a language of its own. Every language with
 ``min_language_words`` words in the corpus has its own histogram; a smaller one has too little text for any, so its
-documents have the base verdict alone, and their distances, from the whole corpus, are only shown. Repeated rows each get their row; ties among common words go to the smaller word. An empty table gives an
-empty result. Other columns pass through ``assess`` untouched.
+documents have the base verdict alone and no distances. Repeated rows each get their row; ties among common words go to
+the smaller word. Words and word windows are compared by 64-bit hashes. An empty table gives an empty result. Other
+columns pass through ``assess`` untouched.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from captionforge.llm.common import NO_SPACES, keep, let, table, text_or_empty, words_of
+from captionforge.llm.common import NO_SPACES, SPACES, keep, let, table, text_or_empty, words_of
 
 
 @dataclass(frozen=True)
@@ -29,7 +30,6 @@ class Rules:
     max_word_distance: float = 0.42
     min_judged_words: int = 50
     min_language_words: int = 2000
-    max_languages: int = 64  # only the oracle SQL still has this limit
 
 
 #: Name and pattern of what is *not* in the class; lower case is the rest.
@@ -41,31 +41,63 @@ CLASSES = (
     ("wide", r"[\x00-\x7F]+"),
     ("odd", r"[A-Za-z0-9.,;:!?'\"()#*$%&|<>\x09-\x0D\x20\x80-\x{10FFFF}-]+"),
 )
-ALL = "*"
-SMALL = 8192  # references that may be broadcast, of one or two kilobytes each
+SMALL = 8192  # references that may be broadcast, of about six kilobytes each
+SLOTS = 1024  # of a language's table of common words
+PARTS = 8  # in which a language's words are ranked before the best of all parts are
 _Q = "__q_"
+_call = F.call_function
 
 
-def only(text: Column, others: str) -> Column:
-    return F.char_length(F.regexp_replace(text, others, "")).cast("long")
+def removed(text: Column, pattern: str) -> Column:
+    return F.regexp_replace(text, pattern, "")
 
 
-def repeat_words(words: Column) -> Column:
-    """Words inside 3-word windows that occur twice or more in the text (equal 64-bit hashes count as equal)."""
-    n = F.size(words)
-    grams = F.when(
-        n >= 3,
-        F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("p"))),
-    )
-    twice = let(
-        F.sort_array(grams),
-        lambda s: F.transform(
-            F.filter(s, lambda x, i: F.coalesce(F.get(s, i - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, i + 1)["h"] == x["h"], F.lit(False))),
-            lambda x: x["p"],
-        ),
-    )
-    covered = let(F.sort_array(twice), lambda p: F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3), F.get(p, i + 1) - x)), F.lit(0), lambda a, x: a + x))
-    return F.coalesce(covered, F.lit(0)).cast("long")
+def class_counts(text: Column) -> list[tuple[Column, str]]:
+    """Steps (value, name) that end in one count for each class, spaces and the rest.
+
+    What most characters are, ASCII letters in lower case and spaces, is taken out first, so the other classes are
+    looked for in a small remnant.
+    """
+    count = lambda c: F.char_length(c).cast("long")
+    bare, left = F.col(f"{_Q}bare"), F.col(f"{_Q}left")
+    steps = [(count(text), "n_chars"), (removed(text, "[a-z]+"), "bare"), (removed(bare, SPACES), "left"), (count(bare) - count(left), "space")]
+    steps += [(count(removed(left, others)), name) for name, others in CLASSES]
+    rest = F.col(f"{_Q}n_chars") - F.col(f"{_Q}space") - sum((F.col(f"{_Q}{name}") for name, _ in CLASSES), F.lit(0))
+    return [*steps, (rest, "rest")]
+
+
+def with_steps(df: DataFrame, steps: list[tuple[Column, str]]) -> DataFrame:
+    """One column after the other, so that none is computed twice."""
+    for value, name in steps:
+        df = df.withColumn(_Q + name, value)
+    return df
+
+
+ALL_CLASSES = ("rest", "space", *(name for name, _ in CLASSES))
+
+
+def repeat_steps(hashes: Column) -> list[tuple[Column, str]]:
+    """Steps that end in ``n_repeat_words``: words inside 3-word windows that occur twice or more in the text.
+
+    Only texts with a repeated window are looked at further: their windows are sorted by hash, each with its place in
+    the low bits, which sorts plain numbers; neighbours are then compared by their whole hashes.
+    """
+    col = lambda n: F.col(_Q + n)
+    windows = F.transform(F.slice(hashes, F.lit(1), F.greatest(F.size(hashes) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(hashes, i + 1), F.get(hashes, i + 2)))
+    bits, low = F.length(F.bin(F.size(col("windows")).cast("long"))), _call("shiftleft", F.lit(1).cast("long"), col("bits")) - 1
+    placed = F.transform(col("windows"), lambda x, i: _call("shiftleft", _call("shiftrightunsigned", x, col("bits")), col("bits")).bitwiseOR(i.cast("long")))
+    hash_at = F.transform(col("placed"), lambda x: F.get(col("windows"), x.bitwiseAND(low).cast("int")))
+    again = lambda i: (F.get(col("hash_at"), i) == F.get(col("hash_at"), i - 1)) | (F.get(col("hash_at"), i) == F.get(col("hash_at"), i + 1))
+    twice = F.filter(F.transform(col("placed"), lambda x, i: F.when(again(i), x.bitwiseAND(low)).otherwise(F.lit(-1).cast("long"))), lambda x: x >= 0)
+    reach = F.transform(col("twice"), lambda x, i: F.least(F.lit(3).cast("long"), F.get(col("twice"), i + 1) - x))
+    return [
+        (windows, "windows"),
+        (bits, "bits"),
+        (F.when(F.size(F.array_distinct(col("windows"))) < F.size(col("windows")), F.sort_array(placed)), "placed"),
+        (hash_at, "hash_at"),
+        (F.sort_array(twice), "twice"),
+        (F.coalesce(F.aggregate(reach, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long")), "n_repeat_words"),
+    ]
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -86,80 +118,74 @@ def shares(counts: Column) -> Column:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """``docs`` with the base counts and the class histogram, in columns that start with ``__q_``."""
+    """``docs`` with the base counts, the class counts and the words' hashes, in columns that start with ``__q_``."""
     text = text_or_empty()
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(NO_SPACES))
-    out = docs.withColumns({f"{_Q}words": words_of(text), f"{_Q}lang": F.coalesce(F.col("lang"), F.lit("")), f"{_Q}n_chars": F.char_length(text).cast("long")})
-    out = out.withColumns({f"{_Q}{name}": only(text, others) for name, others in CLASSES} | {f"{_Q}lines": lines, f"{_Q}word_chars": F.char_length(F.array_join(f"{_Q}words", "")).cast("long")})
-    space = F.col(f"{_Q}n_chars") - F.col(f"{_Q}word_chars")
-    rest = F.col(f"{_Q}word_chars") - sum((F.col(f"{_Q}{name}") for name, _ in CLASSES), F.lit(0))
-    return out.withColumns(
-        {
-            f"{_Q}n_words": F.size(f"{_Q}words").cast("long"),
-            f"{_Q}n_dup_lines": (F.size(f"{_Q}lines") - F.size(F.array_distinct(f"{_Q}lines"))).cast("long"),
-            f"{_Q}n_repeat_words": repeat_words(F.col(f"{_Q}words")),
-            f"{_Q}classes": F.array(rest, space, *(F.col(f"{_Q}{name}") for name, _ in CLASSES)),
-        }
-    )
+    hashes = F.transform(words_of(text), lambda w: F.xxhash64(w))
+    steps = [
+        (F.coalesce(F.col("lang"), F.lit("")), "lang"), *class_counts(text), (lines, "lines"), (hashes, "hashes"),
+        (F.size(f"{_Q}hashes").cast("long"), "n_words"), (F.col(f"{_Q}n_chars") - F.col(f"{_Q}space"), "word_chars"),
+        ((F.size(f"{_Q}lines") - F.size(F.array_distinct(f"{_Q}lines"))).cast("long"), "n_dup_lines"), *repeat_steps(F.col(f"{_Q}hashes")),
+    ]
+    done = with_steps(docs, steps)
+    return done.drop(*(_Q + n for n in ("bare", "left", "lines", "windows", "bits", "placed", "hash_at", "twice")))
+
+
+def table_of(hashes: Column) -> Column:
+    """A table of ``SLOTS`` places: at some shift all of the hashes fall on different places, where their number is.
+
+    shift is null if no shift does (then the hashes are compared one by one).
+    """
+    place = lambda h, s: _call("shiftrightunsigned", h, s).bitwiseAND(F.lit(SLOTS - 1)).cast("int")
+    fits = F.filter(F.sequence(F.lit(0), F.lit(50)), lambda s: F.size(F.array_distinct(F.transform(hashes, lambda h: place(h, s)))) == F.size(hashes))
+    at = lambda s: let(F.transform(hashes, lambda h: place(h, s)), lambda p: F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda k: F.array_position(p, k).cast("int")))
+    return let(F.get(fits, F.lit(0)), lambda s: F.struct(s.alias("shift"), at(s).alias("slots")))
 
 
 def references(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """One row for each language with enough words and one for all: class shares, common words and their shares."""
+    """One row for each language with enough words: class shares, its common words' hashes, their table and shares."""
     text = text_or_empty()
     lang = F.coalesce(F.col("lang"), F.lit("")).alias("lang")
-    n_classes = len(CLASSES) + 2
-    base = docs.select(lang, words_of(text).alias("words"), F.char_length(text).cast("long").alias("n"), *(only(text, others).alias(name) for name, others in CLASSES))
-    base = base.withColumn("inside", F.char_length(F.array_join("words", "")).cast("long"))
-    counts = [F.col("inside") - sum((F.col(name) for name, _ in CLASSES), F.lit(0)), F.col("n") - F.col("inside"), *(F.col(name) for name, _ in CLASSES)]
-    by_lang = base.groupBy("lang").agg(F.sum(F.size("words").cast("long")).alias("n_words"), *(F.sum(c).alias(f"c{i}") for i, c in enumerate(counts)))
-    tallied = keep(by_lang, "quality-classes")
-    chosen = tallied.filter(F.col("n_words") >= rules.min_language_words).select("lang", "n_words", *(f"c{i}" for i in range(n_classes)))
-    everything = tallied.agg(F.lit(ALL).alias("lang"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("n_words"), *(F.coalesce(F.sum(f"c{i}"), F.lit(0)).alias(f"c{i}") for i in range(n_classes)))
-    classes = chosen.withColumn("whole", F.lit(False)).unionByName(everything.withColumn("whole", F.lit(True)))
-    classes = classes.select("whole", "lang", "n_words", shares(F.array(*(f"c{i}" for i in range(n_classes)))).alias("class_share"))
+    counted = with_steps(docs.select(lang, text.alias("text")), class_counts(F.col("text")))
+    by_lang = counted.groupBy("lang").agg(*(F.sum(_Q + c).alias(c) for c in ALL_CLASSES))
+    classes = by_lang.select("lang", shares(F.array(*ALL_CLASSES)).alias("class_share"))
 
     words = keep(docs.select(lang, F.explode(words_of(text)).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")), "quality-words")
-    top = Window.partitionBy("whole", "lang").orderBy(F.desc("n"), "word")
-    own = words.withColumn("whole", F.lit(False)).withColumn("k", F.row_number().over(top)).filter(F.col("k") <= rules.common_words)
-    joint = words.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(ALL).alias("lang"), "word", "n", F.lit(True).alias("whole"))
-    joint = joint.withColumn("k", F.row_number().over(top)).filter(F.col("k") <= rules.common_words)
-    lists = own.unionByName(joint).groupBy("whole", "lang").agg(F.array_sort(F.collect_list(F.struct("k", "word", "n"))).alias("list"))
-    # the window group limit keeps at most common_words rows of a language in each task before the shuffle
-    return classes.join(lists, ["whole", "lang"], "left").select(
-        "whole",
-        "lang",
-        "class_share",
-        F.coalesce(F.transform("list", lambda x: x["word"]), F.array().cast("array<string>")).alias("common"),
-        let(
-            F.coalesce(F.transform("list", lambda x: x["n"]), F.array().cast("array<bigint>")),
-            lambda n: F.transform(
-                F.concat(F.array(F.col("n_words") - F.aggregate(n, F.lit(0).cast("long"), lambda s, x: s + x)), n, F.array_repeat(F.lit(0).cast("long"), rules.common_words - F.size(n))),
-                lambda x: F.coalesce(F.try_divide(x.cast("double"), F.col("n_words").cast("double")), F.lit(0.0)),
-            ),
-        ).alias("common_share"),
-    )
+    enough = words.groupBy("lang").agg(F.sum("n").alias("n_words")).filter(F.col("n_words") >= rules.min_language_words)
+    best = lambda *by: F.row_number().over(Window.partitionBy("lang", *by).orderBy(F.desc("n"), "word"))
+    top = words.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(PARTS))).withColumn("k", best("part")).filter(F.col("k") <= rules.common_words)
+    top = top.withColumn("k", best()).filter(F.col("k") <= rules.common_words)  # of few rows for each language
+    lists = top.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("k", "word", "n"))).alias("list"))
+    n = F.transform("list", lambda x: x["n"])
+    common = lists.withColumn("common", F.transform("list", lambda x: F.xxhash64(x["word"]))).withColumn("table", table_of(F.col("common")))
+    full = lambda n: F.concat(F.array(F.col("n_words") - F.aggregate(n, F.lit(0).cast("long"), lambda s, x: s + x)), n, F.array_repeat(F.lit(0).cast("long"), rules.common_words - F.size(n)))
+    return classes.join(enough, "lang").join(common, "lang").select("lang", "class_share", "common", "table", shares(full(n)).alias("common_share"))
 
 
 def assess(docs: DataFrame, rules: Rules = Rules(), refs: DataFrame | None = None) -> DataFrame:
     """``docs`` plus the columns ``__q_*``: counts, both distances, ``__q_base_failed`` and ``__q_kept``."""
     refs = keep(references(docs, rules) if refs is None else refs, "quality-references")
-    row = F.struct("class_share", "common", "common_share")
-    own = refs.filter(~F.col("whole")).select(F.col("lang").alias(f"{_Q}lang"), row.alias(f"{_Q}own"))
+    own = refs.select(F.col("lang").alias(f"{_Q}lang"), F.struct("class_share", "common", "table", "common_share").alias(f"{_Q}ref"))
     own = F.broadcast(own) if refs.count() <= SMALL else own  # checked: else the join shuffles
-    joint = F.broadcast(refs.filter("whole").select(F.lit(1).alias(f"{_Q}one"), row.alias(f"{_Q}joint")))
-    out = measured(docs).join(own, f"{_Q}lang", "left").withColumn(f"{_Q}one", F.lit(1)).join(joint, f"{_Q}one", "left")
-    out = out.withColumn(f"{_Q}ref", F.coalesce(f"{_Q}own", f"{_Q}joint"))
-    common = F.col(f"{_Q}ref.common")
-    # each word becomes one ASCII mark: '@' for others, then one mark for each common word
-    marks = F.array_join(F.transform(f"{_Q}words", lambda w: F.char(F.array_position(common, w) + 64)), "")
-    out = out.withColumn(f"{_Q}marks", marks)
-    seen = F.transform(F.sequence(F.lit(64), F.lit(64 + rules.common_words)), lambda k: (F.length(f"{_Q}marks") - F.length(F.replace(F.col(f"{_Q}marks"), F.char(k), F.lit("")))).cast("long"))
-    out = out.withColumns({f"{_Q}class_share": shares(F.col(f"{_Q}classes")), f"{_Q}word_share": shares(seen)})
-    out = out.withColumns({f"{_Q}class_distance": js_distance(F.col(f"{_Q}class_share"), F.col(f"{_Q}ref.class_share")), f"{_Q}word_distance": js_distance(F.col(f"{_Q}word_share"), F.col(f"{_Q}ref.common_share"))})
-    n, repeated = F.col(f"{_Q}n_words"), F.col(f"{_Q}n_repeat_words")
-    failed = (n < rules.min_words) | (100 * repeated > rules.max_repeat_percent * n)
-    odd = F.col(f"{_Q}own").isNotNull() & (n >= rules.min_judged_words) & ((F.col(f"{_Q}class_distance") > rules.max_class_distance) | (F.col(f"{_Q}word_distance") > rules.max_word_distance))
-    return out.withColumns({f"{_Q}base_failed": failed, f"{_Q}kept": ~failed & ~odd})
+    col = lambda n: F.col(_Q + n)
+    common, shift, slots = col("ref.common"), col("ref.table.shift"), col("ref.table.slots")
+    found = F.transform("__q_hashes", lambda h: F.get(slots, _call("shiftrightunsigned", h, shift).bitwiseAND(F.lit(SLOTS - 1)).cast("int")))
+    sure = F.zip_with(found, F.col(f"{_Q}hashes"), lambda k, h: F.when((k > 0) & (F.get(common, k - 1) == h), k).otherwise(0))
+    slow = F.transform(f"{_Q}hashes", lambda h: F.array_position(common, h).cast("int"))
+    # each common word becomes one ASCII mark
+    names = F.array(F.lit(""), *(F.lit(chr(64 + k)) for k in range(1, rules.common_words + 1)))
+    hits = F.filter(F.when(shift.isNotNull(), sure).otherwise(slow), lambda k: k > 0)
+    of = lambda k: (F.length(col("marks")) - F.length(F.replace(col("marks"), F.lit(chr(64 + k)), F.lit("")))).cast("long")
+    seen = F.array(col("n_words") - F.length(col("marks")), *(of(k) for k in range(1, rules.common_words + 1)))
+    n = col("n_words")
+    failed = (n < rules.min_words) | (100 * col("n_repeat_words") > rules.max_repeat_percent * n)
+    odd = col("ref").isNotNull() & (n >= rules.min_judged_words) & ((col("class_distance") > rules.max_class_distance) | (col("word_distance") > rules.max_word_distance))
+    steps = [
+        (F.array_join(F.transform(hits, lambda k: F.get(names, k)), ""), "marks"), (shares(F.array(*(col(c) for c in ALL_CLASSES))), "class_share"), (shares(seen), "word_share"),
+        (F.when(col("ref").isNotNull(), js_distance(col("class_share"), col("ref.class_share"))), "class_distance"), (F.when(col("ref").isNotNull(), js_distance(col("word_share"), col("ref.common_share"))), "word_distance"),
+        (failed, "base_failed"), (~failed & ~odd, "kept"),
+    ]
+    return with_steps(measured(docs).join(own, f"{_Q}lang", "left"), steps).drop(f"{_Q}hashes", f"{_Q}marks")
 
 
 def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:

@@ -32,24 +32,20 @@ pos AS (SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS k FROM h),
 grams AS (SELECT rid, k, w, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM pos WINDOW o AS (PARTITION BY rid ORDER BY k)),
 twice AS (SELECT rid, k FROM (SELECT rid, k, count(*) OVER (PARTITION BY rid, w, w2, w3) AS c FROM grams WHERE w3 IS NOT NULL) WHERE c > 1),
 cover AS (SELECT rid, count(DISTINCT k + j) AS n_repeat_words FROM twice, (SELECT unnest([0, 1, 2]) AS j) GROUP BY rid),
-langs AS (SELECT lang, sum(n_words) AS n, [{_SUMS}] AS c FROM h GROUP BY lang),
-refs AS (SELECT lang, FALSE AS whole, n, c FROM (SELECT *, row_number() OVER (ORDER BY n DESC, lang) AS r FROM langs WHERE n >= {_R.min_language_words}) WHERE r <= {_R.max_languages}
-  UNION ALL SELECT '*', TRUE, sum(n_words), [{_SUMS}] FROM h),
-counts AS (SELECT lang, FALSE AS whole, w, count(*) AS c FROM pos JOIN h USING (rid) GROUP BY ALL),
-pooled AS (SELECT * FROM counts UNION ALL SELECT '*', TRUE, w, sum(c) FROM counts GROUP BY w),
-top AS (SELECT whole, lang, w, c, row_number() OVER (PARTITION BY whole, lang ORDER BY c DESC, w) AS k FROM pooled QUALIFY k <= {_R.common_words}),
-lists AS (SELECT whole, lang, list(w ORDER BY k) AS common, list(c ORDER BY k) AS cc, sum(c) AS s FROM top GROUP BY whole, lang),
-ref AS (SELECT r.lang, r.whole, list_transform(r.c, lambda x: x / list_sum(r.c)::DOUBLE) AS q, l.common,
-  list_transform(range(0, {_R.common_words} + 1), lambda k: CASE WHEN k = 0 THEN (r.n - l.s)::DOUBLE ELSE coalesce(l.cc[k], 0)::DOUBLE END / r.n::DOUBLE) AS wq FROM refs r LEFT JOIN lists l USING (whole, lang)),
-joined AS (SELECT h.*, coalesce(o.q, g.q) AS q, coalesce(o.common, g.common) AS common, coalesce(o.wq, g.wq) AS wq, coalesce(c.n_repeat_words, 0) AS n_repeat_words
-  FROM h LEFT JOIN ref o ON o.lang = h.lang AND NOT o.whole LEFT JOIN ref g ON g.whole LEFT JOIN cover c USING (rid)),
+langs AS (SELECT lang, sum(n_words) AS n, [{_SUMS}] AS c FROM h GROUP BY lang HAVING sum(n_words) >= {_R.min_language_words}),
+counts AS (SELECT lang, w, count(*) AS c FROM pos JOIN h USING (rid) GROUP BY ALL),
+top AS (SELECT lang, w, c, row_number() OVER (PARTITION BY lang ORDER BY c DESC, w) AS k FROM counts QUALIFY k <= {_R.common_words}),
+lists AS (SELECT lang, list(w ORDER BY k) AS common, list(c ORDER BY k) AS cc, sum(c) AS s FROM top GROUP BY lang),
+ref AS (SELECT r.lang, list_transform(r.c, lambda x: x / list_sum(r.c)::DOUBLE) AS q, l.common,
+  list_transform(range(0, {_R.common_words} + 1), lambda k: CASE WHEN k = 0 THEN (r.n - l.s)::DOUBLE ELSE coalesce(l.cc[k], 0)::DOUBLE END / r.n::DOUBLE) AS wq FROM langs r JOIN lists l USING (lang)),
+joined AS (SELECT h.*, q, common, wq, coalesce(c.n_repeat_words, 0) AS n_repeat_words FROM h LEFT JOIN ref USING (lang) LEFT JOIN cover c USING (rid)),
 hits AS (SELECT j.rid, list_position(j.common, p.w) AS k, count(*) AS c FROM joined j JOIN pos p USING (rid) GROUP BY ALL),
 seen AS (SELECT rid, map_from_entries(list((coalesce(k, 0), c))) AS s FROM hits GROUP BY rid),
 shared AS (SELECT j.*, list_transform(range(0, {_R.common_words} + 1), lambda k: coalesce(s[k], 0)::DOUBLE / greatest(n_words, 1)::DOUBLE) AS wp,
   list_transform(hist, lambda x: x::DOUBLE / greatest(list_sum(hist), 1)::DOUBLE) AS p FROM joined j LEFT JOIN seen USING (rid)),
-judged AS (SELECT *, {_js('p', 'q')} AS class_distance, {_js('wp', 'wq')} AS word_distance, n_words < {_R.min_words} OR 100 * n_repeat_words > {_R.max_repeat_percent} * n_words AS base_failed FROM shared)
+judged AS (SELECT *, CASE WHEN q IS NOT NULL THEN {_js('p', 'q')} END AS class_distance, CASE WHEN q IS NOT NULL THEN {_js('wp', 'wq')} END AS word_distance, n_words < {_R.min_words} OR 100 * n_repeat_words > {_R.max_repeat_percent} * n_words AS base_failed FROM shared)
 SELECT doc_id, c_symbol AS n_symbols, n_words, word_chars, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT (n_words >= {_R.min_judged_words} AND (class_distance > {_R.max_class_distance} OR word_distance > {_R.max_word_distance})) AS kept, class_distance, word_distance
+  NOT base_failed AND NOT (q IS NOT NULL AND n_words >= {_R.min_judged_words} AND (class_distance > {_R.max_class_distance} OR word_distance > {_R.max_word_distance})) AS kept, class_distance, word_distance
 FROM judged
 """
 
@@ -94,8 +90,8 @@ ends AS (SELECT rid, kind, value, a, a + length(m) AS b FROM found
   WHERE kind IN (1, 2) OR (kind = 0 AND length(value) >= {secrets.MIN_ASSIGNED})
      OR (kind = 3 AND regexp_matches(value, '[0-9].*[0-9]') AND regexp_matches(value, '[A-Za-z].*[A-Za-z]') AND len(list_distinct(string_split(value, ''))) >= {secrets.MIN_DISTINCT})),
 used AS (SELECT e.* FROM ends e WHERE kind < 3 OR NOT EXISTS (SELECT 1 FROM ends o WHERE o.rid = e.rid AND o.kind < 3 AND o.a < e.b AND e.a < o.b)),
-owners AS (SELECT value, count(DISTINCT source) AS n FROM used JOIN d USING (rid) GROUP BY value),
-final AS (SELECT u.* FROM used u JOIN owners USING (value) WHERE kind < 3 OR n <= {secrets.MAX_OWNERS}),
+owners AS (SELECT value, count(*) AS repos, count(DISTINCT source) AS n FROM (SELECT DISTINCT value, source, doc_id FROM used JOIN d USING (rid)) GROUP BY value),
+final AS (SELECT u.* FROM used u JOIN owners USING (value) WHERE kind < 3 OR NOT ((n > {secrets.MAX_OWNERS} AND repos >= {secrets.MIN_REPOS}) OR repos > {secrets.MANY_REPOS})),
 lists AS (SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
   string_agg({_NAMES}, ',' ORDER BY a, kind) FILTER (kind < 3) AS base, string_agg({_NAMES}, ',' ORDER BY a, kind) AS spans FROM final GROUP BY rid)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN lists USING (rid)
