@@ -153,12 +153,12 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     return docs.mapInArrow(run, schema)
 
 
-def sliced(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about ``SLICE`` bytes of text each."""
+def sliced(batch: pa.RecordBatch, text: str, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``size`` bytes of text each."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
     start = 0
     while start < batch.num_rows:
-        end = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + SLICE, "right")))
+        end = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + size, "right")))
         yield batch.slice(start, end - start)
         start = end
 

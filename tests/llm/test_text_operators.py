@@ -10,6 +10,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -38,7 +39,6 @@ def test_sql(spark, name):
 def test_packing(spark, docs, odd_rows):
     path = P.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     want = Counter((i, tuple(tokenizer.encode(t or "", add_special_tokens=False).ids + [1])) for i, t, *_ in odd_rows)
     pieces = packing.pack(docs, path, 64).toPandas().sort_values(["sequence_id", "offset"])
     got, open_ = Counter(), {}
@@ -57,15 +57,22 @@ def test_packing(spark, docs, odd_rows):
         assert (own["offset"].to_numpy() == np.cumsum(sizes) - sizes).all()
         assert sizes.sum() == 64 or s == pieces["sequence_id"].max()
     assert packing.sequences(packing.pack(docs, path, 64)).filter("size(ids) < 64").count() <= 1
-    assert packing.digested(packing.pack(docs, path, 64)).filter("length(cast(ids_crc32 as string)) = 0").count() == 0
+    key = lambda p: (p.doc_id, p.start, p.length, p.doc_tokens)
+    crcs = Counter((key(p), zlib.crc32(np.array(p.ids, "<u4").tobytes())) for p in packing.pack(docs, path, 64).collect())
+    assert Counter((key(p), p.ids_crc32) for p in packing.pack(docs, path, 64, digests=True).collect()) == crcs
 
 
-def test_packed_words_equal_the_tokenizer():
-    words = packing.known_words(P.path("word_bpe_49k.json"))
+@pytest.mark.parametrize("plain", [False, True])
+def test_packed_words_equal_the_tokenizer(plain, monkeypatch):
+    monkeypatch.setattr(packing, "CACHED", 20_000)
+    words = packing.Words(P.path("word_bpe_49k.json"), plain)
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    library.encode_special_tokens = plain
     rng = random.Random(2)
-    texts = ["".join(rng.choice("aAbé'sSñ!,.0１Σσİ́ǅß日 -_\x1f") for _ in range(rng.randint(1, 12))) for _ in range(3000)]
-    for t in texts:
-        assert b"".join(map(words.__getitem__, t.encode().split())) == np.array(words.tokenizer.encode(t, add_special_tokens=False).ids, "<i4").tobytes()
+    texts = ["".join(rng.choice("aAbé'sSñ!,.0１Σσİ́ǅß日 -_\x1f\x85\n") for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    texts += ["end<|endoftext|>Start <|endoftext|>,<|startoftext|>", "a<|ENDOFTEXT|>", "<|endoftext", None, "don't 'll x's"]
+    got = [x for k in range(0, len(texts), 100) for x in words.encode(pa.array(texts[k : k + 100], pa.string()))]
+    assert got == [np.array(library.encode(t or "", add_special_tokens=False).ids, "<i4").tobytes() for t in texts]
 
 
 def test_byte_bpe(spark, docs, odd_rows):
