@@ -2,12 +2,14 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from captionforge.llm import hmm, jaccard, lines, substrings, url_lists
@@ -151,21 +153,47 @@ def test_automaton():
         automaton.add(s)
 
 
-def levenshtein(a, b):
-    row = list(range(len(b) + 1))
+def levenshtein(a, b, room):
+    """The edit distance, or more than ``room``."""
+    y, at = np.frombuffer(b.encode("utf-32-le"), "u4"), np.arange(len(b) + 1)
+    row = at
     for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+        row = np.append(i, np.minimum(row[1:] + 1, row[:-1] + (y != ord(x))))
+        row = np.minimum.accumulate(row - at) + at
+        if row.min() > room:
+            break
+    return row.min() if row.min() > room else row[-1]
 
 
-@pytest.mark.parametrize("small_block,pivots", [(32, 16), (1, 1)])
-def test_lines(spark, small_block, pivots):
+def near(a, b):
+    """Edit similarity of 0.8 or more."""
+    room = int(0.2 * max(len(a), len(b)) + 1e-9)
+    return abs(len(a) - len(b)) <= room and levenshtein(a, b, room) <= room
+
+
+def normal(line):
+    return " ".join(x for x in regex.split(r"[^\p{L}\p{N}]+", line.lower()) if x) or re.sub(r"\s+", " ", line).strip()
+
+
+def repeated_lines(rows):
+    """(doc_id, line number) of all but the first line of each group, by edit similarity of all pairs alone."""
+    seen = [(i, k, normal(x)) for i, t in rows for k, x in enumerate((t or "").split("\n"))]
+    groups, first, gone = Groups(), set(), set()
+    for a, b in combinations(sorted({n for *_, n in seen if len(n) >= 20}), 2):
+        if near(a, b):
+            groups.join(a, b)
+    for i, k, n in seen:
+        if n:
+            (gone if groups.find(n) in first else first).add((i, k) if groups.find(n) in first else groups.find(n))
+    return gone
+
+
+@pytest.mark.parametrize("pivots,growth", [(2, 4), (1, 2)])
+def test_lines(spark, pivots, growth):
     rng = random.Random(11)
     base = [" ".join(prose(rng, 14).split()) for _ in range(12)]
     rows = []
-    for i in range(50):
+    for i in range(30):
         own = []
         for _ in range(6):
             w = rng.choice(base).split()
@@ -174,25 +202,52 @@ def test_lines(spark, small_block, pivots):
             own.append(" ".join(w).upper() if rng.random() < 0.1 else " ".join(w) + rng.choice(["", " !!"]))
         rows.append((i, "\n".join([*own, "short line", "", "short line"])))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    p = lines.Fuzzy(small_block=small_block, pivots=pivots)
-    seen = lines.hashed(lines.numbered(docs, p), p).join(lines.numbered(docs, p).select("doc_id", "line_no", "norm"), ["doc_id", "line_no"]).orderBy("doc_id", "line_no").collect()
-    one = {r.id: r for r in seen}
-    groups, blocks = Groups(), defaultdict(set)
-    for r in one.values():
-        for i, j in combinations(range(4), 2):
-            blocks[i, j, r[f"b{i}"], r[f"b{j}"]].add(r.id)
-    for a, b in {x for ids in blocks.values() for x in combinations(sorted(ids), 2)}:
-        longer = max(len(one[a].norm), len(one[b].norm))
-        if levenshtein(one[a].norm, one[b].norm) <= int(0.2 * longer + 1e-9):
-            groups.join(a, b)
-    first, gone = set(), set()
-    for r in seen:
-        (gone if groups.find(r.id) in first else first).add((r.doc_id, r.line_no) if groups.find(r.id) in first else groups.find(r.id))
+    gone, p = repeated_lines(rows), lines.Fuzzy(pivots=pivots, growth=growth)
     assert {(r.doc_id, r.line_no) for r in lines.decisions(docs, p).collect()} == gone
     for r in lines.dedup(docs, p).collect():
         assert r.text == "\n".join(x for k, x in enumerate(rows[r.doc_id][1].split("\n")) if (r.doc_id, k) not in gone)
 
 
+def test_recall_of_line_links(spark):
+    """All pairs of the table's lines by edit similarity, against the groups found."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, k, normal(x)) for r in docs.orderBy("doc_id").collect() for k, x in enumerate((r.text or "").split("\n"))]
+    texts = sorted({n for *_, n in rows if len(n) >= 20}, key=len)
+    grams = [Counter(n[k : k + 3] for k in range(len(n) - 2)) for n in texts]
+    index = defaultdict(list)
+    pairs = []
+    for j, own in enumerate(grams):
+        # lines within d edits share all but 3 d of their 3-grams
+        met = Counter()
+        for g, n in own.items():
+            for i, m in index[g]:
+                met[i] += min(n, m)
+            index[g].append((j, n))
+        long = len(texts[j])
+        pairs += [(texts[i], texts[j]) for i, n in met.items() if len(texts[i]) >= 0.8 * long - 1e-9 and n >= long - 2 - 3 * int(0.2 * long + 1e-9)]
+    links = [(a, b) for a, b in pairs if near(a, b)]
+    place = {n: (i, k) for i, k, n in reversed(rows)}
+    first = {min(place[a], place[b]): max(place[a], place[b]) for a, b in links}
+    gone = {(r.doc_id, r.line_no) for r in lines.decisions(docs).collect()}
+    assert len(links) > 30 and sum(b in gone for b in first.values()) >= 0.95 * len(first)
+
+
+def test_lines_that_leave_blanks(spark):
+    rows = [(1, "alpha bravo charlie delta\necho foxtrot"), (2, "echo foxtrot\n"), (3, ""), (4, None), (5, "\n")]
+    out = lines.marked(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "__l_gone", lines.left_text().alias("left")).collect()
+    assert {r.doc_id: (r["__l_gone"], r.left) for r in out} == {1: (None, rows[0][1]), 2: ([0], ""), 3: (None, ""), 4: (None, None), 5: (None, "\n")}
+
+
+def test_lines_long_and_repeated(spark):
+    """A text of very many lines, most of them repeats, and very long lines with words left out."""
+    rng = random.Random(1)
+    long = prose(rng, 4000).replace("\n", " ")
+    w = long.split(" ")
+    rows = [(1, "\n".join(f"line {k % 50}" for k in range(5000))), (2, long), (3, " ".join(w[:1000] + w[1003:2500] + ["extra"] + w[2500:]))]
+    gone = Counter(r.doc_id for r in lines.decisions(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert gone == {1: 4950, 3: 1}
+
+
 def test_lines_odd_rows(docs, odd_rows, empty):
     out = lines.dedup(docs)
     assert out.columns == docs.columns and out.count() == len(odd_rows)
@@ -219,7 +274,6 @@ def test_lines_with_one_word_changed(spark, words):
         line = " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(3, 10))) for _ in range(words))
         rows += [(2 * i, line), (2 * i + 1, variant(rng, line))]
     # all pairs by edit similarity alone; random lines of different origin are far apart
-    near = lambda a, b: levenshtein(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9)
     want = {b[0] for a, b in zip(rows[::2], rows[1::2], strict=True) if near(a[1], b[1])}
     assert len(want) > 280 and not any(near(rows[i][1], rows[j][1]) for i, j in zip(range(0, 600, 2), range(2, 600, 2), strict=False))
     got = {r.doc_id for r in lines.decisions(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
