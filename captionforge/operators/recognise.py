@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import sha256
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -37,6 +39,7 @@ def transcribe(work: DataFrame, make_model: Callable[[], Callable], key: str = "
     """``work`` with the columns of an answer: ``make_model()`` once for each Python worker, its result for each row."""
     schema = T.StructType([*(f for f in work.schema.fields if f.name not in ANSWER.fieldNames()), *ANSWER.fields])
     names = ANSWER.fieldNames()
+    key = f"{key}-{sha256(cloudpickle.dumps(make_model)).hexdigest()}"  # another maker has a model of its own
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = model_of(key, make_model)

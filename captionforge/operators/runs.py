@@ -92,10 +92,10 @@ def effective_language(rows: DataFrame) -> DataFrame:
     return rows.withColumn("effective_language", F.coalesce("seg_language", "rec_language", "model_language"))
 
 
-def lookup_align_model(work: DataFrame, registry: DataFrame, small: bool = True) -> DataFrame:
+def lookup_align_model(work: DataFrame, registry: DataFrame, small: bool = False) -> DataFrame:
     """``work`` with its language's ``model_ref``; a language without one makes an error of that segment alone.
 
-    ``small``: the registry (a row for each language) may be broadcast.
+    ``small``: the registry (a row for each language) is known to be small enough to broadcast; else Spark decides.
     """
     models = registry.select("language", "model_ref")
     rows = work.join(F.broadcast(models) if small else models, "language", "left")

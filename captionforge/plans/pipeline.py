@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +47,9 @@ def subtitles(spark: SparkSession, root: str, make_model: Callable, store: Store
     try:
         stored = read_results(spark, store.results)
         stored.isEmpty()
-    except Exception:  # noqa: BLE001  no results yet
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         stored = spark.createDataFrame([], RESULTS)
     known = runs.merge_outcomes(stored.join(keys, ["recording_id", "run_key"], "left_semi"))
     last = known.select("recording_id", "segment_idx", "status", "attempt")

@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from captionforge.functions.text import EXT, basename, extension, output_path
 
-#: The extensions offered by default.
-VIDEO = (".mp4", ".avi", ".mkv", ".mov", ".flv", ".wmv")
-AUDIO = (".mp3", ".wav", ".aac", ".flac", ".ogg", ".m4a")
-
 
 def scan_media(spark: SparkSession, root: str, exts: tuple[str, ...] | None = None) -> DataFrame:
     """Recordings below ``root``; with ``exts`` only those extensions, in either case."""

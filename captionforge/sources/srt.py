@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 
 def write_srt_folders(subtitles: DataFrame, path: str) -> None:
-    """A folder for each recording below ``path``, by Spark's writer, on any store."""
-    subtitles.select("recording_id", F.regexp_replace("srt", r"\n$", "").alias("value")).repartition("recording_id").write.mode("overwrite").partitionBy("recording_id").option("lineSep", "\n").text(path)
+    """A folder for each recording below ``path``, by Spark's writer, on any store; other recordings' folders stay."""
+    subtitles.select("recording_id", F.regexp_replace("srt", r"\n$", "").alias("value")).repartition("recording_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("recording_id").option("lineSep", "\n").text(path)
 
 
 def read_srt_folders(spark: SparkSession, path: str) -> DataFrame:

@@ -79,13 +79,9 @@ def test_fresh_run_resume_and_rerender(spark, media, tmp_path):
     store, log = Store(str(tmp_path / "segments"), str(tmp_path / "results")), tmp_path / "log"
     first = {os.path.basename(r.recording_id): r.srt for r in subtitles(spark, str(media), fake(log, {1}), store).collect()}
     assert set(first) == {"b.wav"} and log.read_text().count("\n") == 3
-    from captionforge.operators import recognise
-
-    recognise._models.clear()
     second = subtitles(spark, str(media), fake(log), store).cache()
-    # workers keep a model by its key, so the retry may fail again; what matters is that only the failed segment is tried
     assert log.read_text().count("\n") == 4 and log.read_text().splitlines()[-1] == "a.wav 1"
-    assert {os.path.basename(r.recording_id) for r in second.collect()} <= {"a.wav", "b.wav"}
+    assert {os.path.basename(r.recording_id) for r in second.collect()} == {"a.wav", "b.wav"}
     third = subtitles(spark, str(media), fake(log, {1}), store, rendering=Rendering(word_level=True, allow_partial=True)).collect()
     assert {os.path.basename(r.recording_id): r.srt.splitlines()[2] for r in third} == {"a.wav": "w", "b.wav": "w"}
     write_srt_files(spark.createDataFrame([(str(tmp_path / "x.srt"), "1\nä\n")], "srt_path string, srt string"))
