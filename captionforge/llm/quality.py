@@ -185,7 +185,10 @@ def assess(docs: DataFrame, rules: Rules = Rules(), refs: DataFrame | None = Non
         (F.when(col("ref").isNotNull(), js_distance(col("class_share"), col("ref.class_share"))), "class_distance"), (F.when(col("ref").isNotNull(), js_distance(col("word_share"), col("ref.common_share"))), "word_distance"),
         (failed, "base_failed"), (~failed & ~odd, "kept"),
     ]
-    return with_steps(measured(docs).join(own, f"{_Q}lang", "left"), steps).drop(f"{_Q}hashes", f"{_Q}marks")
+    out = with_steps(measured(docs).join(own, f"{_Q}lang", "left"), steps).drop(f"{_Q}hashes", f"{_Q}marks")
+    # a generator, as filters on the results would be pushed into the steps and repeat them
+    made = F.struct(*(F.col(c) for c in out.columns if c not in docs.columns))
+    return out.select(*docs.columns, F.explode(F.array(made)).alias(f"{_Q}all")).select(*docs.columns, f"{_Q}all.*")
 
 
 def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
