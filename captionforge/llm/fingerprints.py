@@ -1,16 +1,19 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs.
 
-A paragraph is a line between ``\n``; its vector has 24 numbers modulo 2**60. Four come from its SHA-256, so that two
-documents agree in them only if they hold the same paragraphs as often. Twenty hold 60 counters of 20 bits: each
-sentence of the paragraph (a part between ``. ! ?``) adds one bit of its SHA-256 to each. A document's fingerprint is
-the sum of its paragraphs' vectors, so the order of paragraphs doesn't matter, and ``insert`` and ``delete`` update it
-without the rest of the text. Two documents' likeness is the Tanimoto coefficient of the counters' deviations from
-their mean, an unbiased sketch of the sentences that both hold; equal fingerprints have likeness 1.
+A paragraph is a line between ``\n``. Its vector has four numbers modulo 2**60 and 4096 lanes modulo 2**40. The four
+come from its SHA-256, so that two documents agree in them only if they hold the same paragraphs as often. Each
+sentence of the paragraph (a part between ``. ! ?``) adds one to the lane that its SHA-256 names. A document's
+fingerprint is the sum of its paragraphs' vectors, so the order of paragraphs doesn't matter, and ``insert`` and
+``delete`` update it without the rest of the text. Only lanes that aren't 0 are stored, sorted, each as one number with
+its count in the low 40 bits.
+
+Lanes 2b and 2b + 1 are the two signs of bucket b, so their difference is a count sketch. Two documents' likeness is the
+Tanimoto coefficient of these differences, an estimate of that of the sentences' counts (README: its error); equal
+fingerprints have likeness 1.
 
 Null text counts as empty; an empty text has one empty paragraph and no sentence, so its likeness to other texts is 0.
-Counters are exact up to 2**20 sentences, then carry over, which leaves equality intact. Rows are ordered by doc_id
-(null first), then text; repeated rows each get a row, and follow one another. An only row is its own next document.
-An empty table gives an empty result.
+Rows are ordered by doc_id (null first), then text; repeated rows each get a row, and follow one another. An only row is
+its own next document. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,8 +23,8 @@ from pyspark.sql import functions as F
 
 from captionforge.llm.common import MASK60, keep, let, table
 
-STRONG, PACKED, LANE = 4, 20, 20
-_BITS = 1 | 1 << LANE | 1 << 2 * LANE
+STRONG, LANES, BITS = 4, 4096, 40  # numbers, lanes, bits of a lane
+MASK = (1 << BITS) - 1
 #: Rows in a range of doc_id, and the ranges' first cut.
 RANGE_ROWS, COARSE = 8192, 256
 
@@ -39,54 +42,87 @@ def _parts(digests: Column, k: int) -> Column:
     return F.transform(digests, lambda x: _number(x, k))
 
 
-def _lanes(numbers: Column, j: int) -> Column:
-    """Of each number the bits j, j + 20 and j + 40, in three lanes."""
-    return F.transform(numbers, lambda h: F.shiftright(h, j).bitwiseAND(F.lit(_BITS)))
+def _lane(x: Column) -> Column:
+    return F.shiftright(x, BITS)
+
+
+def _count(x: Column) -> Column:
+    return x.bitwiseAND(F.lit(MASK))
+
+
+def _at(lane: Column, count: Column) -> Column:
+    return F.shiftleft(lane, BITS).bitwiseOR(count.bitwiseAND(F.lit(MASK)))
+
+
+def counted(lanes: Column) -> Column:
+    """The lanes that occur in an array of lane numbers, with how often they do."""
+
+    def runs(c: Column) -> Column:
+        starts = F.filter(F.transform(c, lambda x, i: F.when(~x.eqNullSafe(F.get(c, i - 1)), i)), lambda i: i.isNotNull())
+        return let(starts, lambda s: F.transform(s, lambda i, k: _at(F.get(c, i), (F.coalesce(F.get(s, k + 1), F.size(c)) - i).cast("long"))))
+
+    return let(F.sort_array(lanes), runs)
 
 
 def vector(text: Column) -> Column:
-    """The fingerprint of a text as an array of 24 numbers."""
+    """The fingerprint of a text: ``strong`` numbers and the ``lanes`` that aren't 0."""
     digests = F.transform(F.split(text, "\n"), lambda p: F.sha2(p, 256))
     strong = let(digests, lambda d: F.array(*(_sum(_parts(d, k)) for k in range(STRONG))))
-    parts = F.transform(F.array_remove(F.split(text, r"[.!?\n]+"), ""), lambda s: _number(F.sha2(s, 256), 0))
-    counters = let(parts, lambda p: F.array(*(_sum(_lanes(p, j)) for j in range(PACKED)), F.size(p).cast("long")))
-    return F.concat(strong, counters)
+    parts = F.array_remove(F.split(text, r"[.!?\n]+"), "")
+    lanes = F.transform(parts, lambda s: F.conv(F.substring(F.sha2(s, 256), 1, 3), 16, 10).cast("long"))
+    return F.struct(strong.alias("strong"), counted(lanes).alias("lanes"))
+
+
+def _changed(v: Column, w: Column, sign: int) -> Column:
+    strong = F.zip_with(v["strong"], w["strong"], lambda a, b: (a + sign * b).bitwiseAND(F.lit(MASK60)))
+    other = F.transform(w["lanes"], lambda x: _at(_lane(x), sign * _count(x)))
+
+    def merged(c: Column) -> Column:  # a lane stands there once or twice
+        near = lambda x, i: _lane(F.get(c, i)).eqNullSafe(_lane(x))
+        both = lambda x, i: F.when(near(x, i - 1), _at(_lane(x), _count(x) + _count(F.get(c, i - 1)))).otherwise(x)
+        return F.filter(F.transform(c, lambda x, i: F.when(~near(x, i + 1), both(x, i))), lambda x: _count(x) > 0)
+
+    return F.struct(strong.alias("strong"), let(F.sort_array(F.concat(v["lanes"], other)), merged).alias("lanes"))
 
 
 def insert(fingerprint: Column, paragraphs: Column) -> Column:
     """The vector with further paragraphs, given as their own vector (``vector`` of the lines alone)."""
-    return F.zip_with(fingerprint, paragraphs, lambda a, b: (a + b).bitwiseAND(F.lit(MASK60)))
+    return _changed(fingerprint, paragraphs, 1)
 
 
 def delete(fingerprint: Column, paragraphs: Column) -> Column:
-    return F.zip_with(fingerprint, paragraphs, lambda a, b: (a - b).bitwiseAND(F.lit(MASK60)))
+    return _changed(fingerprint, paragraphs, -1)
 
 
 def printed(v: Column) -> Column:
-    """Hexadecimal digits of the 24 numbers that identify the multiset."""
-    return F.array_join(F.transform(F.slice(v, 1, STRONG + PACKED), lambda x: F.lpad(F.lower(F.hex(x)), 15, "0")), "")
+    """Hexadecimal digits: the strong numbers, then each lane that isn't 0 (three digits) with its count."""
+    digits = lambda x, n: F.lpad(F.lower(F.hex(x)), n, "0")
+    lanes = F.transform(v["lanes"], lambda x: F.concat(digits(_lane(x), 3), F.lower(F.hex(_count(x)))))
+    return F.concat(F.array_join(F.transform(v["strong"], lambda x: digits(x, 15)), ""), F.lit(":"), F.array_join(lanes, "."))
 
 
-def deviations(v: Column) -> Column:
-    """60 counters, each less its mean, doubled."""
-    mask = F.lit((1 << LANE) - 1)
-    lanes = F.flatten(F.transform(F.slice(v, STRONG + 1, PACKED), lambda x: F.array(*(F.shiftright(x, s).bitwiseAND(mask) for s in (0, LANE, 2 * LANE)))))
-    return F.zip_with(lanes, F.array_repeat(F.element_at(v, -1), 3 * PACKED), lambda c, n: 2 * c - n)
+def squares(lanes: Column) -> Column:
+    """Sum of the squared differences of lanes 2b and 2b + 1, from sorted lanes, each there any number of times."""
+    zero = F.lit(0).cast("long")
+    state = F.struct(F.lit(-1).cast("long").alias("bucket"), zero.alias("sum"), zero.alias("total"))
 
+    def step(s: Column, x: Column) -> Column:
+        bucket, value = F.shiftright(x, BITS + 1), F.when(_lane(x).bitwiseAND(F.lit(1)) == 1, _count(x)).otherwise(-_count(x))
+        more = bucket == s["bucket"]
+        return F.struct(bucket.alias("bucket"), F.when(more, s["sum"] + value).otherwise(value).alias("sum"), F.when(more, s["total"]).otherwise(s["total"] + s["sum"] * s["sum"]).alias("total"))
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0).cast("long"), lambda s, x: s + x)
+    return F.aggregate(lanes, state, step, lambda s: s["total"] + s["sum"] * s["sum"])
 
 
 def likeness(v: Column, w: Column) -> Column:
     """Of two vectors: 0 to 1, to six decimals."""
+    terms = F.struct((squares(v["lanes"]) + squares(w["lanes"])).alias("apart"), squares(F.sort_array(F.concat(v["lanes"], w["lanes"]))).alias("together"))
 
-    def of(a: Column, b: Column) -> Column:
-        both = _dot(a, b)
-        return let(F.array(both, _dot(a, a) + _dot(b, b)), lambda x: F.coalesce(F.try_divide(F.get(x, 0).cast("double"), (F.get(x, 1) - F.get(x, 0)).cast("double")), F.lit(0.0)))
+    def of(x: Column) -> Column:  # the product of both, doubled, is together - apart
+        double = x["together"] - x["apart"]
+        return F.coalesce(F.try_divide(double.cast("double"), (2 * x["apart"] - double).cast("double")), F.lit(0.0))
 
-    estimate = let(deviations(v), lambda a: let(deviations(w), lambda b: of(a, b)))
-    return F.when(v == w, F.lit(1.0)).otherwise(F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), estimate)), 6))
+    return F.when(v == w, F.lit(1.0)).otherwise(F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), let(terms, of))), 6))
 
 
 def with_next(rows: DataFrame) -> DataFrame:

@@ -51,15 +51,16 @@ FROM judged
 
 _MOD = 1 << 60
 _STRONG = ", ".join(f"(sum(('0x' || substr(g, {15 * k + 1}, 15))::BIGINT) % {_MOD})::BIGINT AS a{k}" for k in range(fingerprints.STRONG))
-_LANES = ", ".join(f"coalesce(sum((h >> {j}) & {1 | 1 << 20 | 1 << 40}) % {_MOD}, 0)::BIGINT AS b{j}" for j in range(fingerprints.PACKED))
-_HEX = " || ".join([f"lpad(lower(to_hex(a{k})), 15, '0')" for k in range(fingerprints.STRONG)] + [f"lpad(lower(to_hex(coalesce(b{j}, 0))), 15, '0')" for j in range(fingerprints.PACKED)])
-_COUNTS = ", ".join(f"2 * ((coalesce(b{j}, 0) >> {s}) & 1048575) - coalesce(n, 0)" for j in range(fingerprints.PACKED) for s in (0, 20, 40))
+_HEX = " || ".join(f"lpad(lower(to_hex(a{k})), 15, '0')" for k in range(fingerprints.STRONG))
 
 
-def _near(a: str, b: str) -> str:
-    dot = lambda x, y: f"list_sum(list_transform(list_zip({x}.dev, {y}.dev), lambda s: s[1] * s[2]))"
-    either = f"({dot(a, a)} + {dot(b, b)} - {dot(a, b)})"
-    return f"CASE WHEN {a}.fp = {b}.fp THEN 1.0::DOUBLE WHEN {either} = 0 THEN 0.0::DOUBLE ELSE round(least(1.0, greatest(0.0, {dot(a, b)}::DOUBLE / {either}::DOUBLE)), 6) END"
+def _near(a: str, b: str, both: str) -> str:
+    either = f"({a}.square + {b}.square - coalesce({both}.dot, 0))"
+    return f"CASE WHEN {a}.fp = {b}.fp THEN 1.0::DOUBLE WHEN {either} = 0 THEN 0.0::DOUBLE ELSE round(least(1.0, greatest(0.0, coalesce({both}.dot, 0)::DOUBLE / {either}::DOUBLE)), 6) END"
+
+
+def _dots(other: str, r: str) -> str:
+    return f"SELECT nx.r, sum(x.v * y.v) AS dot FROM nx JOIN buckets x ON x.r = nx.r AND x.kind = 'own' JOIN buckets y ON y.r = nx.{r} AND y.kind = '{other}' AND y.bucket = x.bucket GROUP BY nx.r"
 
 
 FINGERPRINTS = f"""
@@ -68,10 +69,15 @@ nx AS (SELECT d.*, length(t) AS n_chars, coalesce(lead(t) OVER (ORDER BY r), fir
 texts AS (SELECT r, 'own' AS kind, t FROM nx UNION ALL SELECT r, 'edited', substr(t, 1, n_chars - n_chars // 2) || substr(after, 1, n_chars // 2) FROM nx),
 strong AS (SELECT r, kind, {_STRONG} FROM (SELECT r, kind, sha256(unnest(string_split(t, chr(10)))) AS g FROM texts) GROUP BY r, kind),
 parts AS (SELECT r, kind, unnest(list_filter(string_split_regex(t, '[.!?' || chr(10) || ']+'), lambda x: x <> '')) AS s FROM texts),
-weak AS (SELECT r, kind, count(*) AS n, {_LANES} FROM (SELECT r, kind, ('0x' || substr(sha256(s), 1, 15))::BIGINT AS h FROM parts) GROUP BY r, kind),
-fps AS (SELECT strong.r, strong.kind, {_HEX} AS fp, [{_COUNTS}] AS dev FROM strong LEFT JOIN weak ON weak.r = strong.r AND weak.kind = strong.kind)
-SELECT nx.doc_id, nx.n_chars, sha256(e.t) AS edited_sha256, a.fp AS fingerprint, b.fp AS edited_fingerprint, {_near('a', 'b')} AS near_edited, {_near('a', 'c')} AS near_next
+weak AS (SELECT r, kind, ('0x' || substr(sha256(s), 1, 3))::BIGINT AS lane, count(*) AS n FROM parts GROUP BY ALL),
+lanes AS (SELECT r, kind, string_agg(lpad(lower(to_hex(lane)), 3, '0') || lower(to_hex(n)), '.' ORDER BY lane) AS lanes FROM weak GROUP BY r, kind),
+buckets AS (SELECT r, kind, lane >> 1 AS bucket, sum(CASE WHEN lane & 1 = 1 THEN n ELSE -n END) AS v FROM weak GROUP BY ALL),
+squares AS (SELECT r, kind, sum(v * v) AS square FROM buckets GROUP BY ALL),
+fps AS (SELECT r, kind, {_HEX} || ':' || coalesce(lanes, '') AS fp, coalesce(square, 0) AS square FROM strong LEFT JOIN lanes USING (r, kind) LEFT JOIN squares USING (r, kind)),
+edits AS ({_dots("edited", "r")}), nexts AS ({_dots("own", "ra")})
+SELECT nx.doc_id, nx.n_chars, sha256(e.t) AS edited_sha256, a.fp AS fingerprint, b.fp AS edited_fingerprint, {_near("a", "b", "edits")} AS near_edited, {_near("a", "c", "nexts")} AS near_next
 FROM nx JOIN texts e ON e.r = nx.r AND e.kind = 'edited' JOIN fps a ON a.r = nx.r AND a.kind = 'own' JOIN fps b ON b.r = nx.r AND b.kind = 'edited' JOIN fps c ON c.r = nx.ra AND c.kind = 'own'
+LEFT JOIN edits ON edits.r = nx.r LEFT JOIN nexts ON nexts.r = nx.r
 """
 
 

@@ -105,6 +105,41 @@ def test_fingerprints(spark, docs, odd_rows):
     assert (row.same, row.added, row.removed, row.one, row.none) == (True, True, True, 1.0, 0.0)
 
 
+def test_fingerprints_add_up_within_a_lane(spark):
+    v = lambda t: fingerprints.vector(F.lit(t))
+    a, b = "same. same. other.\nmore!" * 50, "same. same.\nlast\n\nmore!" * 70
+    row = spark.range(1).select(
+        (fingerprints.insert(v(a), v(b)) == v(a + "\n" + b)).alias("added"), (fingerprints.delete(v(a + "\n" + b), v(a)) == v(b)).alias("removed"),
+        F.size(fingerprints.delete(v(a), v(a))["lanes"]).alias("left"), fingerprints.printed(v("x. x. x")).alias("text"),
+    ).first()
+    assert (row.added, row.removed, row.left) == (True, True, 0)
+    x, spaced = (int(hashlib.sha256(w.encode()).hexdigest()[:3], 16) for w in ("x", " x"))
+    assert row.text.split(":")[1] == ".".join(f"{lane:03x}{n}" for lane, n in sorted({x: 1, spaced: 2}.items()))
+
+
+def test_fingerprints_tell_likeness(spark):
+    """Against the exact Tanimoto coefficient of the sentences' counts."""
+    sf = "/root/testdata/sf0.001"
+    rows = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    count = lambda t: Counter(x for x in re.split(r"[.!?\n]+", t) if x)
+
+    def exact(s, t):
+        a, b = count(s), count(t)
+        both = sum(n * b[x] for x, n in a.items())
+        either = sum(n * n for c in (a, b) for n in c.values()) - both
+        return 1.0 if a == b else both / either if either else 0.0
+
+    want = {}
+    for (i, t), (_, after) in zip(rows, rows[1:] + rows[:1], strict=True):
+        half = len(t) // 2
+        want[i] = (exact(t, t[: len(t) - half] + after[:half]), exact(t, after))
+    got = fingerprints.op3_fingerprints(spark, sf).collect()
+    errors = np.array([(r.near_edited - want[r.doc_id][0], r.near_next - want[r.doc_id][1]) for r in got])
+    rms, most = np.sqrt((errors**2).mean(axis=0)), np.abs(errors).max(axis=0)
+    print("likeness error: rms", rms, "most", most)
+    assert len(got) == len(rows) and rms.max() < 0.03
+
+
 def test_fingerprints_over_many_ranges(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "RANGE_ROWS", 3)
     monkeypatch.setattr(fingerprints, "COARSE", 4)
