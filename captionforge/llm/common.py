@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space, as in the word pattern ``[^\x20\x09-\x0D]+``.
-SPACES = r"[\x20\x09-\x0D]+"
+WHITE = " \t\n\x0b\x0c\r"
 NO_SPACES = r"[^\x20\x09-\x0D]"
 MASK60 = (1 << 60) - 1
 
@@ -54,8 +54,13 @@ def text_or_empty(name: str = "text") -> Column:
 
 
 def words_of(text: Column) -> Column:
-    """Array of words ``[^\x20\x09-\x0D]+``; empty for a text without any."""
-    return F.array_remove(F.split(text, SPACES), "")
+    """Array of words ``[^\x20\x09-\x0D]+``; empty for a text without any.
+
+    White space becomes blanks first, as a text is split at one plain character without the regex engine.
+    """
+    for c in WHITE[1:]:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
 
 
 def text_key(text: Column) -> Column:

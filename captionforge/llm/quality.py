@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from captionforge.llm.common import NO_SPACES, SPACES, keep, let, table, text_or_empty, words_of
+from captionforge.llm.common import NO_SPACES, WHITE, keep, let, table, text_or_empty, words_of
 
 
 @dataclass(frozen=True)
@@ -41,7 +41,7 @@ CLASSES = (
     ("wide", r"[\x00-\x7F]+"),
     ("odd", r"[A-Za-z0-9.,;:!?'\"()#*$%&|<>\x09-\x0D\x20\x80-\x{10FFFF}-]+"),
 )
-SMALL = 8192  # references that may be broadcast, of about six kilobytes each
+SMALL = 4096  # references that may be broadcast, of about nine kilobytes each
 SLOTS = 1024  # of a language's table of common words
 PARTS = 8  # in which a language's words are ranked before the best of all parts are
 _Q = "__q_"
@@ -56,11 +56,12 @@ def class_counts(text: Column) -> list[tuple[Column, str]]:
     """Steps (value, name) that end in one count for each class, spaces and the rest.
 
     What most characters are, ASCII letters in lower case and spaces, is taken out first, so the other classes are
-    looked for in a small remnant.
+    looked for in a small remnant. Spaces are counted by taking out each kind, without the regex engine.
     """
     count = lambda c: F.char_length(c).cast("long")
-    bare, left = F.col(f"{_Q}bare"), F.col(f"{_Q}left")
-    steps = [(count(text), "n_chars"), (removed(text, "[a-z]+"), "bare"), (removed(bare, SPACES), "left"), (count(bare) - count(left), "space")]
+    left, size = F.col(f"{_Q}left"), F.octet_length(text).cast("long")
+    spaces = sum((size - F.octet_length(F.replace(text, F.lit(c), F.lit(""))) for c in WHITE), F.lit(0))
+    steps = [(count(text), "n_chars"), (spaces.cast("long"), "space"), (removed(text, r"[a-z\x20\x09-\x0D]+"), "left")]
     steps += [(count(removed(left, others)), name) for name, others in CLASSES]
     rest = F.col(f"{_Q}n_chars") - F.col(f"{_Q}space") - sum((F.col(f"{_Q}{name}") for name, _ in CLASSES), F.lit(0))
     return [*steps, (rest, "rest")]
@@ -80,20 +81,26 @@ def repeat_steps(hashes: Column) -> list[tuple[Column, str]]:
     """Steps that end in ``n_repeat_words``: words inside 3-word windows that occur twice or more in the text.
 
     Only texts with a repeated window are looked at further: their windows are sorted by hash, each with its place in
-    the low bits, which sorts plain numbers; neighbours are then compared by their whole hashes.
+    the low bits, which sorts plain numbers. Those that agree with a neighbour in the other bits are few; they are then
+    compared by their whole hashes.
     """
     col = lambda n: F.col(_Q + n)
     windows = F.transform(F.slice(hashes, F.lit(1), F.greatest(F.size(hashes) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(hashes, i + 1), F.get(hashes, i + 2)))
     bits, low = F.length(F.bin(F.size(col("windows")).cast("long"))), _call("shiftleft", F.lit(1).cast("long"), col("bits")) - 1
-    placed = F.transform(col("windows"), lambda x, i: _call("shiftleft", _call("shiftrightunsigned", x, col("bits")), col("bits")).bitwiseOR(i.cast("long")))
-    hash_at = F.transform(col("placed"), lambda x: F.get(col("windows"), x.bitwiseAND(low).cast("int")))
+    placed = F.transform(col("windows"), lambda x, i: x.bitwiseAND(col("high")).bitwiseOR(i.cast("long")))
+    alike = lambda x, i: F.get(col("placed"), i).bitwiseAND(col("high")) == x.bitwiseAND(col("high"))
+    near = F.filter(col("placed"), lambda x, i: F.coalesce(alike(x, i + 1), F.lit(False)) | alike(x, i - 1))
+    hash_at = F.transform(col("near"), lambda x: F.get(col("windows"), x.bitwiseAND(col("low")).cast("int")))
     again = lambda i: (F.get(col("hash_at"), i) == F.get(col("hash_at"), i - 1)) | (F.get(col("hash_at"), i) == F.get(col("hash_at"), i + 1))
-    twice = F.filter(F.transform(col("placed"), lambda x, i: F.when(again(i), x.bitwiseAND(low)).otherwise(F.lit(-1).cast("long"))), lambda x: x >= 0)
+    twice = F.filter(F.transform(col("near"), lambda x, i: F.when(again(i), x.bitwiseAND(col("low")))), lambda x: x.isNotNull())
     reach = F.transform(col("twice"), lambda x, i: F.least(F.lit(3).cast("long"), F.get(col("twice"), i + 1) - x))
     return [
         (windows, "windows"),
         (bits, "bits"),
+        (low, "low"),
+        (F.bitwise_not(col("low")), "high"),
         (F.when(F.size(F.array_distinct(col("windows"))) < F.size(col("windows")), F.sort_array(placed)), "placed"),
+        (near, "near"),
         (hash_at, "hash_at"),
         (F.sort_array(twice), "twice"),
         (F.coalesce(F.aggregate(reach, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long")), "n_repeat_words"),
@@ -128,18 +135,21 @@ def measured(docs: DataFrame) -> DataFrame:
         ((F.size(f"{_Q}lines") - F.size(F.array_distinct(f"{_Q}lines"))).cast("long"), "n_dup_lines"), *repeat_steps(F.col(f"{_Q}hashes")),
     ]
     done = with_steps(docs, steps)
-    return done.drop(*(_Q + n for n in ("bare", "left", "lines", "windows", "bits", "placed", "hash_at", "twice")))
+    return done.drop(*(_Q + n for n in ("left", "lines", "windows", "bits", "low", "high", "placed", "near", "hash_at", "twice")))
+
+
+def _place(h: Column, shift: Column) -> Column:
+    return _call("shiftrightunsigned", h, shift).bitwiseAND(F.lit(SLOTS - 1)).cast("int")
 
 
 def table_of(hashes: Column) -> Column:
-    """A table of ``SLOTS`` places: at some shift all of the hashes fall on different places, where their number is.
+    """A table of ``SLOTS`` places that holds the hashes: at some shift all of them fall on different places.
 
     shift is null if no shift does (then the hashes are compared one by one).
     """
-    place = lambda h, s: _call("shiftrightunsigned", h, s).bitwiseAND(F.lit(SLOTS - 1)).cast("int")
-    fits = F.filter(F.sequence(F.lit(0), F.lit(50)), lambda s: F.size(F.array_distinct(F.transform(hashes, lambda h: place(h, s)))) == F.size(hashes))
-    at = lambda s: let(F.transform(hashes, lambda h: place(h, s)), lambda p: F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda k: F.array_position(p, k).cast("int")))
-    return let(F.get(fits, F.lit(0)), lambda s: F.struct(s.alias("shift"), at(s).alias("slots")))
+    fits = F.filter(F.sequence(F.lit(0), F.lit(50)), lambda s: F.size(F.array_distinct(F.transform(hashes, lambda h: _place(h, s)))) == F.size(hashes))
+    at = lambda s: let(F.transform(hashes, lambda h: _place(h, s)), lambda p: F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda k: F.get(hashes, F.array_position(p, k).cast("int") - 1)))
+    return let(F.get(fits, F.lit(0)), lambda s: F.struct(s.alias("shift"), at(s).alias("held")))
 
 
 def references(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -168,20 +178,19 @@ def assess(docs: DataFrame, rules: Rules = Rules(), refs: DataFrame | None = Non
     own = refs.select(F.col("lang").alias(f"{_Q}lang"), F.struct("class_share", "common", "table", "common_share").alias(f"{_Q}ref"))
     own = F.broadcast(own) if refs.count() <= SMALL else own  # checked: else the join shuffles
     col = lambda n: F.col(_Q + n)
-    common, shift, slots = col("ref.common"), col("ref.table.shift"), col("ref.table.slots")
-    found = F.transform("__q_hashes", lambda h: F.get(slots, _call("shiftrightunsigned", h, shift).bitwiseAND(F.lit(SLOTS - 1)).cast("int")))
-    sure = F.zip_with(found, F.col(f"{_Q}hashes"), lambda k, h: F.when((k > 0) & (F.get(common, k - 1) == h), k).otherwise(0))
-    slow = F.transform(f"{_Q}hashes", lambda h: F.array_position(common, h).cast("int"))
+    common, shift, held = col("ref.common"), col("ref.table.shift"), col("ref.table.held")
+    sure = F.filter(f"{_Q}hashes", lambda h: F.get(held, _place(h, shift)) == h)
+    slow = F.filter(f"{_Q}hashes", lambda h: F.array_contains(common, h))
+    hits = F.when(shift.isNotNull(), sure).otherwise(slow)
     # each common word becomes one ASCII mark
-    names = F.array(F.lit(""), *(F.lit(chr(64 + k)) for k in range(1, rules.common_words + 1)))
-    hits = F.filter(F.when(shift.isNotNull(), sure).otherwise(slow), lambda k: k > 0)
+    marks = F.array_join(F.transform(hits, lambda h: F.chr(64 + F.array_position(common, h))), "")
     of = lambda k: (F.length(col("marks")) - F.length(F.replace(col("marks"), F.lit(chr(64 + k)), F.lit("")))).cast("long")
     seen = F.array(col("n_words") - F.length(col("marks")), *(of(k) for k in range(1, rules.common_words + 1)))
     n = col("n_words")
     failed = (n < rules.min_words) | (100 * col("n_repeat_words") > rules.max_repeat_percent * n)
     odd = col("ref").isNotNull() & (n >= rules.min_judged_words) & ((col("class_distance") > rules.max_class_distance) | (col("word_distance") > rules.max_word_distance))
     steps = [
-        (F.array_join(F.transform(hits, lambda k: F.get(names, k)), ""), "marks"), (shares(F.array(*(col(c) for c in ALL_CLASSES))), "class_share"), (shares(seen), "word_share"),
+        (marks, "marks"), (shares(F.array(*(col(c) for c in ALL_CLASSES))), "class_share"), (shares(seen), "word_share"),
         (F.when(col("ref").isNotNull(), js_distance(col("class_share"), col("ref.class_share"))), "class_distance"), (F.when(col("ref").isNotNull(), js_distance(col("word_share"), col("ref.common_share"))), "word_distance"),
         (failed, "base_failed"), (~failed & ~odd, "kept"),
     ]
