@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from captionforge.llm import byte_bpe, fingerprints, hmm, jaccard, lines, packing, prefix_trie, quality, secrets, sql, substrings, topk, url_lists
+from captionforge.llm import byte_bpe, fingerprints, hmm, jaccard, lexical, lines, packing, prefix_trie, quality, secrets, sql, substrings, topk, url_lists
 
-MODULES = (packing, url_lists, fingerprints, lines, quality, byte_bpe, substrings, hmm, secrets, jaccard, prefix_trie, topk)
+MODULES = (packing, url_lists, fingerprints, lines, quality, byte_bpe, substrings, hmm, secrets, jaccard, prefix_trie, lexical, topk)
 
 
 def queries() -> dict:
