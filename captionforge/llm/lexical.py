@@ -6,7 +6,7 @@ item's is the term's weight times its occurrences. The score is their inner prod
 
 Items are read in blocks of bounded size. One pass over all documents keeps their lengths and the occurrences of the
 block's terms; counts over that table give the weights. Documents are then taken in chunks. A chunk's documents are
-halved again and again at the median of their most varying part, which makes a binary tree, and so are the items. A node
+halved again and again at the median between two that are far apart, which makes a binary tree, and so are the items. A node
 holds the maximum of each coordinate below it. The product of two nodes' maxima bounds every score between them: if it
 is less than the weakest kth score of the node's items, all the pairs are pruned. Otherwise both nodes are split, down
 to leaves, which are scored. A small part of the documents, dealt by hash, goes first, and what it finds bounds the rest;
@@ -39,8 +39,8 @@ class Ranking:
     block_items: int = 512  # about, as items are dealt to blocks by hash
     block_bytes: int = 1 << 20  # of the items' texts
     chunk: int = 2048  # documents of a tree
-    leaf: int = 16
-    item_leaf: int = 8
+    leaf: int = 4
+    item_leaf: int = 1
     node_bytes: int = 64 << 20  # of the maxima of a chunk's nodes
     first_wave: int = 64  # one of so many documents
 
@@ -98,9 +98,11 @@ class Tree:
             a, b = self.range[k]
             if b - a > leaf:
                 own = self.order[a:b]
-                axis = spread[own].var(axis=0).argmax()
+                x = spread[own]
+                one = x[((x - x.mean(axis=0)) ** 2).sum(axis=1).argmax()]
+                other = x[((x - one) ** 2).sum(axis=1).argmax()]
                 half = (b - a) // 2
-                self.order[a:b] = own[np.argpartition(spread[own, axis], half)]
+                self.order[a:b] = own[np.argpartition(x @ (one - other), half)]
                 self.children[k] = (len(self.range), len(self.range) + 1)
                 self.range += [(a, a + half), (a + half, b)]
                 self.children += [(), ()]
