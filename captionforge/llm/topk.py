@@ -122,7 +122,6 @@ class Rotated:
 
     def __init__(self, v: np.ndarray, turn: np.ndarray, stages: tuple[int, ...]) -> None:
         self.v, self.f = v, v.astype("f8")
-        self.most = int(max(v.max(initial=0), -int(v.min(initial=0))))
         self.norm = np.sqrt((self.f * self.f).sum(axis=1))
         self.r = self.f @ turn
         total = np.cumsum(self.r * self.r, axis=1)
@@ -146,7 +145,7 @@ class Best:
     def meet(self, ids: np.ndarray, c: Rotated) -> None:
         """Candidates by descending length."""
         p, q = self.p, self.q
-        most = q.v.shape[1] * q.most * c.most
+        most = q.norm.max(initial=0) * c.norm.max(initial=0) * (1 + 1e-9)  # of any sum of their products
         if most >= 1 << 63:
             raise OverflowError("scores beyond 64 bits")
         slack = 0.5 + 1e-9 * q.norm * (c.norm.max(initial=0) + 1)
