@@ -61,9 +61,9 @@ def axes(candidates: DataFrame, p: Search) -> dict[int, np.ndarray]:
     """By number of components, the rotation to the axes of a bounded sample's SVD."""
     rows = candidates.orderBy(F.xxhash64("id", "v")).limit(p.fit_rows).select("v").toPandas()["v"]  # bounded
     out = {}
-    for dim in {len(v) for v in rows}:
-        x = np.array([v for v in rows if len(v) == dim], "f8").reshape(-1, dim)
-        out[dim] = np.linalg.svd(x, full_matrices=True)[2].T if len(x) and dim and len(x) >= dim else np.eye(dim)
+    for dim in {len(v) for v in rows} - {0}:
+        x = np.array([v for v in rows if len(v) == dim], "f8")
+        out[dim] = np.linalg.svd(x.T @ x)[0]  # the right singular vectors of x
     return out
 
 

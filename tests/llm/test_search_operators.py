@@ -167,7 +167,7 @@ def neighbours(rows, k=5, step=50):
     return Counter(out)
 
 
-@pytest.mark.parametrize("p", [topk.Search(), topk.Search(block=16, queries=3, step=5, stages=(2, 4), fit_rows=40, group_bytes=900), topk.Search(stages=(), block=7)])
+@pytest.mark.parametrize("p", [topk.Search(), topk.Search(block=16, queries=3, step=5, stages=(2, 4), fit_rows=40, group_bytes=4000), topk.Search(stages=(), block=7)])
 def test_top_k(spark, p):
     rng = random.Random(3)
     centres = [[rng.gauss(0, 0.2) for _ in range(12)] for _ in range(4)]
