@@ -18,6 +18,9 @@ class Recognition:
     model: str = "medium"
     compute_type: str = "int8"
     batch_size: int = 16
+    batched: bool = False  # the model takes lists of at most batch_size segments
+    task_cpus: int = 0  # what a recognition task asks of a cluster; 0: as the session has it
+    task_gpus: float = 0
 
 
 @dataclass(frozen=True)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +13,9 @@ from captionforge.config import Cutting
 
 SAMPLES_PER_MS = 16
 FULL_SCALE = 32_768
+BLOCK_MS = 10_000
+FANOUT = 10_000  # blocks of one level that make one of the next
+WIDEST = 10**16  # milliseconds; no recording is as long
 
 
 def energy_limit(threshold_db: float, samples: int) -> int:
@@ -22,14 +25,42 @@ def energy_limit(threshold_db: float, samples: int) -> int:
 
 
 def frame_energy(pcm: DataFrame, samples_per_frame: int = SAMPLES_PER_MS) -> DataFrame:
-    """recording_id, block_no, ms, e (sum of squares) and n (samples) of every millisecond of the blocks."""
-    place = F.floor(F.col("pos") / samples_per_frame)
-    rows = pcm.select("recording_id", "block_no", "start_ms", F.posexplode("samples").alias("pos", "p"))
-    rows = rows.select("recording_id", "block_no", (F.col("start_ms") + place).alias("ms"), F.col("p").cast("long").alias("p"))
-    return rows.groupBy("recording_id", "block_no", "ms").agg(F.sum(F.col("p") * F.col("p")).alias("e"), F.count("*").cast("int").alias("n"))
+    """recording_id, block_no, ms, e (sum of squares) and n (samples) of every millisecond of the blocks.
 
+    Each batch of blocks is one segmented sum over its samples, the last frame of a block with what is left. A block
+    with an error (column ``error``, if there) becomes one row with that error and no frame.
+    """
+    kind = pcm.schema["recording_id"].dataType.simpleString()
+    failing = "error" in pcm.columns
 
-def silent_windows(frames: DataFrame, cutting: Cutting = Cutting(), block_ms: int = 10_000, samples_per_frame: int = SAMPLES_PER_MS) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("samples").fill_null([]) if batch.column("samples").null_count else batch.column("samples")
+            x = lists.flatten().to_numpy(zero_copy_only=False).astype("i8")
+            sizes = np.diff(np.asarray(lists.offsets)).astype("i8")
+            frames = -(-sizes // samples_per_frame)
+            block = np.repeat(np.arange(len(sizes)), frames)
+            place = np.arange(frames.sum()) - np.repeat(np.cumsum(frames) - frames, frames)
+            first = (np.cumsum(sizes) - sizes)[block] + place * samples_per_frame
+            e = np.add.reduceat(x * x, first) if len(first) else np.zeros(0, "i8")
+            n = np.minimum(samples_per_frame, sizes[block] - place * samples_per_frame)
+            at = pa.array(block)
+            columns = [batch.column("recording_id").take(at), batch.column("block_no").take(at).cast(pa.int32()), pa.array(batch.column("start_ms").fill_null(0).to_numpy()[block] + place), pa.array(e), pa.array(n, pa.int32())]
+            names = ["recording_id", "block_no", "ms", "e", "n"]
+            if not failing:
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+                continue
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(block), pa.string())], names=[*names, "error"])
+            bad = batch.filter(batch.column("error").is_valid())
+            if bad.num_rows:
+                none = [pa.nulls(bad.num_rows, t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.int32())]
+                yield pa.RecordBatch.from_arrays([bad.column("recording_id"), *none, bad.column("error")], names=[*names, "error"])
+
+    own = pcm.select("recording_id", "block_no", F.col("start_ms").cast("long").alias("start_ms"), "samples", *(["error"] if failing else []))
+    return own.mapInArrow(run, f"recording_id {kind}, block_no int, ms long, e long, n int" + (", error string" if failing else ""))
+
+
+def silent_windows(frames: DataFrame, cutting: Cutting = Cutting(), block_ms: int = BLOCK_MS, samples_per_frame: int = SAMPLES_PER_MS) -> DataFrame:
     """recording_id and ms of every start of a complete silent window.
 
     Sums come from prefix sums inside blocks of ``block_ms`` that overlap by a window, so that neither a long
@@ -47,44 +78,105 @@ def silent_windows(frames: DataFrame, cutting: Cutting = Cutting(), block_ms: in
     return rows.filter(own & (F.col("sum") < energy_limit(cutting.threshold_db, samples_per_frame * k))).select("recording_id", "ms")
 
 
-def silence_runs(windows: DataFrame) -> DataFrame:
-    """recording_id, a and b: first and last start of each run of adjacent silent windows."""
-    island = F.col("ms") - F.row_number().over(Window.partitionBy("recording_id").orderBy("ms"))
-    rows = windows.withColumn("island", island)
-    return rows.groupBy("recording_id", "island").agg(F.min("ms").alias("a"), F.max("ms").alias("b")).drop("island")
+def islands(rows: DataFrame, width: int) -> DataFrame:
+    """Ranges (recording_id, a, b) with those that touch each other made one, inside blocks of ``width``."""
+    order = Window.partitionBy("recording_id", "block").orderBy("a")
+    rows = rows.withColumn("block", F.expr(f"a div {width}"))
+    rows = rows.withColumn("fresh", F.when(F.col("a") == F.lag("b").over(order) + 1, 0).otherwise(1))
+    rows = rows.withColumn("island", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy("recording_id", "block", "island").agg(F.min("a").alias("a"), F.max("b").alias("b")).select("recording_id", "a", "b")
+
+
+def silence_runs(windows: DataFrame, block_ms: int = BLOCK_MS, fanout: int = FANOUT) -> DataFrame:
+    """recording_id, a and b: first and last start of each run of adjacent silent windows.
+
+    Runs are found inside blocks; only those that touch a block's edge go on, to be joined inside blocks of
+    ``fanout`` blocks, and so on. So no partition holds more than a block's frames or ``2 * fanout`` edges, however
+    long a recording or a silence is.
+    """
+    rows, width, done = islands(windows.select("recording_id", F.col("ms").alias("a"), F.col("ms").alias("b")), block_ms), block_ms, []
+    while width < WIDEST:
+        edge = (F.col("a") % width == 0) | ((F.col("b") + 1) % width == 0)
+        done.append(rows.filter(~edge))
+        width *= fanout
+        rows = islands(rows.filter(edge), width)
+    for part in done:
+        rows = rows.unionByName(part)
+    return rows
+
+
+class Fold:
+    """Cuts one recording as its stretches of silence come in, in order; holds only those that a cut may still meet."""
+
+    def __init__(self, length: int, cutting: Cutting) -> None:
+        self.length, self.c, self.at, self.ahead = length, cutting, 0, []
+
+    def target(self) -> int:
+        return min(self.at + self.c.segment_ms, self.length)
+
+    def add(self, a: int, b: int) -> Iterator[tuple[int, int]]:
+        """A run of silent window starts; yields the segments that no later run can change."""
+        while self.at < self.length and a > self.target() - self.c.min_silence_ms:
+            yield self.cut()
+        self.ahead.append((a, b))
+
+    def cut(self) -> tuple[int, int]:
+        start, end = self.at, self.target()
+        if end < self.length and end - start > self.c.search_ms:
+            low, high = max(start, end - self.c.search_ms), end - self.c.min_silence_ms
+            self.ahead = [r for r in self.ahead if r[1] >= low]
+            if self.ahead and (quiet := max(low, self.ahead[0][0])) <= high and quiet > start + self.c.min_silence_ms:
+                end = quiet
+        self.at = end
+        return start, end
+
+    def rest(self) -> Iterator[tuple[int, int]]:
+        while self.at < self.length:
+            yield self.cut()
 
 
 def cut_points(length: int, runs: list[tuple[int, int]], cutting: Cutting) -> list[tuple[int, int]]:
     """Segments of one recording: each ends at the first silent window in its tail, or at full length."""
-    out, at = [], 0
-    ends = [b for _, b in runs]
-    while at < length:
-        end = min(at + cutting.segment_ms, length)
-        if end < length and end - at > cutting.search_ms:
-            low, high = max(at, end - cutting.search_ms), end - cutting.min_silence_ms
-            k = bisect_left(ends, low)
-            if k < len(runs) and (start := max(low, runs[k][0])) <= high and start > at + cutting.min_silence_ms:
-                end = start
-        out.append((at, end))
-        at = end
-    return out
+    fold = Fold(length, cutting)
+    return [s for a, b in runs for s in fold.add(a, b)] + list(fold.rest())
 
 
 def cut_segments(lengths: DataFrame, runs: DataFrame, cutting: Cutting = Cutting()) -> DataFrame:
     """segments (recording_id, segment_idx, start_ms, end_ms) that tile each recording.
 
-    The fold over one recording is sequential; its input is a row of packed runs, one for each stretch of silence.
+    Lengths and runs are dealt by recording and sorted; the fold reads them as a stream, so a recording with very many
+    silences needs no more memory than another. Runs of recordings without a length are left out.
     """
-    packed = runs.groupBy("recording_id").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("runs"))
-    rows = lengths.select("recording_id", "length_ms").join(packed, "recording_id", "left")
+    kind = lengths.schema["recording_id"].dataType.simpleString()
+    none = F.lit(None).cast("long")
+    rows = lengths.select("recording_id", F.col("length_ms").cast("long").alias("length_ms"), none.alias("a"), none.alias("b")).filter("length_ms is not null")
+    rows = rows.unionByName(runs.select("recording_id", none.alias("length_ms"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
+    rows = rows.repartition("recording_id").sortWithinPartitions("recording_id", F.asc_nulls_first("a"), "b")
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, fold, k = None, None, 0
         for batch in batches:
             out = []
-            for rec, length, silent in batch.itertuples(index=False):
-                pairs = [(x["a"], x["b"]) for x in silent] if silent is not None else []
-                out += [(rec, i, a, b) for i, (a, b) in enumerate(cut_points(int(length), pairs, cutting))]
-            yield pd.DataFrame(out, columns=["recording_id", "segment_idx", "start_ms", "end_ms"])
 
-    kind = lengths.schema["recording_id"].dataType.simpleString()
-    return rows.mapInPandas(fold, f"recording_id {kind}, segment_idx int, start_ms long, end_ms long")
+            def told(segments: Iterator[tuple[int, int]]) -> None:
+                nonlocal k
+                for a, b in segments:
+                    out.append((held, k, a, b))  # noqa: B023  used in this turn of the loop only
+                    k += 1
+
+            for rec, length, a, b in zip(*(batch.column(c).to_pylist() for c in ("recording_id", "length_ms", "a", "b")), strict=True):
+                if length is not None:
+                    if fold:
+                        told(fold.rest())
+                    held, fold, k = rec, Fold(length, cutting), 0
+                elif fold and rec == held:
+                    told(fold.add(a, b))
+            yield packed(out, batch.schema.field("recording_id").type)
+        if fold:
+            yield packed([(held, k + j, a, b) for j, (a, b) in enumerate(fold.rest())], batch.schema.field("recording_id").type)
+
+    def packed(rows: list[tuple], key: pa.DataType) -> pa.RecordBatch:
+        kinds = zip(("recording_id", "segment_idx", "start_ms", "end_ms"), (key, pa.int32(), pa.int64(), pa.int64()), strict=True)
+        return pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(kinds)})
+
+    return rows.mapInArrow(run, f"recording_id {kind}, segment_idx int, start_ms long, end_ms long")

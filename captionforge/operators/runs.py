@@ -36,15 +36,20 @@ def manifest_check(segments: DataFrame, stored: DataFrame) -> DataFrame:
     return both.groupBy("recording_id").agg(F.bool_and(F.col("own").isNotNull() & F.col("old").isNotNull()).alias("reusable"))
 
 
+def latest(rows: DataFrame, *keys: str, by: tuple[str, ...] = ("attempt",)) -> DataFrame:
+    """The row of each key that is the highest by ``by``."""
+    names = [c for c in rows.columns if c not in keys]
+    best = F.max_by(F.struct(*names), F.struct(*by)).alias("last")
+    return rows.groupBy(*keys).agg(best).select(*keys, "last.*")
+
+
 def merge_outcomes(*parts: DataFrame) -> DataFrame:
     """The latest outcome of each segment of a run: the highest attempt, later parts winning ties."""
     rows = None
     for seq, part in enumerate(parts):
         part = part.withColumn("seq", F.lit(seq))
         rows = part if rows is None else rows.unionByName(part)
-    names = [c for c in rows.columns if c not in ("recording_id", "run_key", "segment_idx", "seq")]
-    best = F.max_by(F.struct(*names), F.struct("attempt", "seq")).alias("last")
-    return rows.groupBy("recording_id", "run_key", "segment_idx").agg(best).select("recording_id", "run_key", "segment_idx", "last.*")
+    return latest(rows, "recording_id", "run_key", "segment_idx", by=("attempt", "seq")).drop("seq")
 
 
 def plan_work(segments: DataFrame, results: DataFrame, missing: DataFrame | None = None) -> DataFrame:

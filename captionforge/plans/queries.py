@@ -2,34 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from captionforge.functions.text import output_path, srt_timestamp
 from captionforge.operators import audio, cues, runs
-from captionforge.operators.recognise import transcribe
+from captionforge.config import Recognition
+from captionforge.operators.recognise import align, transcribe
 from captionforge.plans import adapters as A
+from captionforge.plans.pipeline import recognised
+from captionforge.schemas import RESULTS
 from captionforge.sources.media import scan_media
-from captionforge.sources.srt import read_srt_folders, write_srt_folders
-from captionforge.sources.state import read_results
+from captionforge.sources.pcm import scan_pcm_wav
+from captionforge.sources.shared import kept, scratch
+from captionforge.sources.srt import read_srt_folders, write_srt_files, write_srt_folders
+from captionforge.sources.state import read_results, read_segments, read_state, results_table, state_results, write_results, write_segments
 from captionforge.streaming.incremental import incremental_results
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder below the one that executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cues.rebase_times(cues.attach_offsets(cues.successful(A.transcripts(spark, sf_dir)), A.transcript_segments(spark, sf_dir)))
 
@@ -182,12 +173,27 @@ def incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
         turns.filter(F.col("segment_idx") % 2 == part).write.mode("append").parquet(arrivals)
         stream = spark.readStream.schema(turns.schema).parquet(arrivals)
         incremental_results(stream, murmuring, out, checkpoint, "murmuring").awaitTermination()
-    return _answers(runs.merge_outcomes(read_results(spark, out)))
+    return _answers(read_results(spark, out))
+
+
+def sounds(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of WAV files made from the vectors: up to a thousand in a row of one label are a recording."""
+    root = scratch(spark, "sounds")
+    A.write_wavs(A.recordings(spark, sf_dir), root)
+    return root
 
 
 def media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The files of the tables themselves as a media folder."""
-    return scan_media(spark, sf_dir, (".PARQUET",)).select("stem", "ext", "length", F.col("srt_path").endswith(".srt").alias("named"))
+    """The catalogue of the vectors' recordings."""
+    return scan_media(spark, sounds(spark, sf_dir), (".WAV",)).select("stem", "ext", "length", F.regexp_extract("srt_path", "[^/]*$", 0).alias("srt_name"))
+
+
+def pcm_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recordings' blocks of 100 ms, read in ranges of a few blocks; ``weighed`` tells their order too."""
+    pcm = scan_pcm_wav(spark, scan_media(spark, sounds(spark, sf_dir), (".wav",)), block_ms=100, range_bytes=10_000)
+    weighed = F.aggregate(F.transform("samples", lambda x, i: x.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda s, x: s + x)
+    stem = F.regexp_extract("recording_id", r"([^/]*)\.wav$", 1)
+    return pcm.select(stem.alias("stem"), F.col("block_no").cast("long").alias("block_no"), "start_ms", F.size("samples").cast("long").alias("n"), weighed.alias("weighed"), "error")
 
 
 def state_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,18 +207,91 @@ def state_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.merge_outcomes(kept).select("recording_id", F.col("segment_idx").cast("long").alias("segment_idx"), F.col("attempt").cast("long").alias("attempt"), "status")
 
 
+def state_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A state file for each conversation, read as one, stored as results in two batches, compacted between them, and
+    read back; the second batch has later successes of what failed."""
+    turns = A.table(spark, sf_dir, "conversations")
+    sentence = F.struct(F.lit(0.0).alias("start"), F.lit(1.0).alias("end"), F.col("text").alias("text"))
+    fails = F.length("text") % 7 == 0
+    result = F.when(fails, F.struct(F.lit(None).cast("array<struct<start:double,end:double,text:string>>").alias("segments"), F.lit("bad").alias("error"))).otherwise(F.struct(F.array(sentence).alias("segments"), F.lit(None).cast("string").alias("error")))
+    files = turns.select("conv_id", F.struct(F.col("turn").cast("string").alias("key"), result.alias("value")).alias("entry")).groupBy("conv_id").agg(F.map_from_entries(F.collect_list("entry")).alias("processed_results"))
+    whole = F.to_json(F.struct(F.concat(F.col("conv_id").cast("string"), F.lit(".mp4")).alias("input_file"), F.lit("en").alias("detected_language"), "processed_results"))
+    states, out = scratch(spark, "states"), scratch(spark, "state-results")
+    files.select("conv_id", whole.alias("value")).repartition("conv_id").write.partitionBy("conv_id").text(states)
+    results = state_results(read_state(spark, states), "run")
+    write_results(results, out, "first")
+    write_results(results, out, "first")  # a batch that runs again replaces itself
+    results_table(spark, out).compact()
+    write_results(results.filter("status = 'error'").withColumns({"attempt": F.lit(1), "status": F.lit("ok"), "error": F.lit(None).cast("string")}), out)
+    rows = read_results(spark, out)
+    return rows.select("recording_id", F.col("segment_idx").cast("long").alias("segment_idx"), F.col("attempt").cast("long").alias("attempt"), "status", "language", F.get("segments", 0)["text"].alias("said"))
+
+
+def stored_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cuts of the events' timelines, stored for two runs and read back."""
+    cut, path = segment_bounds(spark, sf_dir), scratch(spark, "segments")
+    cut = kept(cut.select(F.col("recording_id").cast("string").alias("recording_id"), F.col("segment_idx").cast("int").alias("segment_idx"), "start_ms", "end_ms"), "cut")
+    for run in ("one", "two"):
+        write_segments(cut.withColumn("run_key", F.lit(run)), path)
+    return read_segments(spark, path).select("recording_id", "run_key", F.col("segment_idx").cast("long").alias("segment_idx"), "start_ms", "end_ms")
+
+
+def successful(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' stored outcomes without the failed ones."""
+    return cues.successful(A.outcomes(spark, sf_dir)[1]).select("recording_id", "segment_idx", "language")
+
+
+def ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answers to all turns in order, each with its place in its recording."""
+    rows = runs.ordered_results(transcribe(_turns(spark, sf_dir), murmuring, "murmuring"))
+    return _answers(rows).withColumn("place", F.monotonically_increasing_id()).transform(A.places)
+
+
+def language_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First turns are recognised first; what is heard in one is told to the model for the rest of its conversation."""
+    turns = _turns(spark, sf_dir).withColumn("detected_language", F.when(F.length("text") % 6 == 0, F.lit("xx")))
+    told = lambda rows: recognised(rows, A.listening, Recognition(batch_size=8, batched=True), None)
+    first = kept(told(turns.filter("segment_idx = 0")), "first")
+    heard = runs.recording_language(first).withColumnRenamed("language", "heard")
+    rest = turns.filter("segment_idx > 0").join(heard, "recording_id", "left").withColumn("detected_language", F.coalesce("detected_language", "heard")).drop("heard")
+    rows = first.unionByName(told(rest))
+    return rows.select("recording_id", F.col("segment_idx").cast("long").alias("segment_idx"), "status", "language")
+
+
+def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document through its language's alignment model; German has none."""
+    docs, _ = A.outcomes(spark, sf_dir)
+    sentence = F.struct(F.lit(0.0).alias("start"), F.col("dur_ms").cast("double").alias("end"), F.col("language").alias("text"))
+    rows = docs.select(F.col("recording_id"), F.lit("run").alias("run_key"), F.col("segment_idx").cast("int").alias("segment_idx"), F.lit(0).alias("attempt"), F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error"), F.lit(None).cast("boolean").alias("unexpected"), "language", F.array(sentence).alias("segments"))
+    rows = rows.withColumn("word_segments", F.lit(None).cast(RESULTS["word_segments"].dataType))
+    registry = docs.select("language").distinct().filter("language <> 'de'").select("language", F.concat(F.lit("align-"), "language").alias("model_ref"))
+    out = align(rows, registry, A.stretching, rows_per_task=500)
+    return out.select("recording_id", F.col("segment_idx").cast("long").alias("segment_idx"), "status", "error", F.get("word_segments", 0)["word"].alias("word"), F.get("word_segments", 0)["end"].alias("end"))
+
+
 def srt_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "srt")
     write_srt_folders(srt_document(spark, sf_dir), path)
     return read_srt_folders(spark, path)
 
 
+def srt_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written to files of exact names, and read back."""
+    root = scratch(spark, "srt-files")
+    spark.range(1).write.parquet(root)  # makes the folder
+    write_srt_files(srt_document(spark, sf_dir).select(F.concat(F.lit(f"{root}/"), F.col("recording_id").cast("string"), F.lit(".srt")).alias("srt_path"), "srt"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.srt").load(root)
+    return files.select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), F.decode("content", "UTF-8").alias("srt"))
+
+
 QUERIES = {
     "srt_document": srt_document, "srt_timestamp": srt_timestamps, "cue_filter": cue_filter, "cue_numbering": cue_numbering, "granularity_select": granularity_select,
     "rebase_times": rebased, "frame_energy": energy, "silence_runs": quiet_runs, "segment_bounds": segment_bounds, "resume_split": resume_split, "latest_outcome": latest_outcome,
     "completion_counts": completion_counts, "completion_gate": completion_gate, "recording_language": recording_language, "language_propagation": language_propagation,
     "align_model_lookup": align_model_lookup, "manifest_check": manifest_check, "compatible_runs": compatible_runs, "output_path": output_paths, "progress": progress,
     "transcribe_fake": transcribe_fake, "incremental_results": incremental, "scan_media": media, "state_reload": state_reload, "srt_roundtrip": srt_roundtrip,
+    "scan_pcm_wav": pcm_blocks, "state_files": state_files, "stored_segments": stored_segments, "successful_results": successful, "ordered_results": ordered, "language_flow": language_flow,
+    "aligned_results": aligned, "srt_files": srt_files,
 }
 
 #: The 29 code points that count as white space.
@@ -245,6 +324,11 @@ _FRAMES = """
 flat AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS j, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) * 4 AS start_ms FROM embeddings),
 frames AS (SELECT label AS recording_id, start_ms + j // 16 AS ms, sum((floor(x * 32768))::BIGINT * (floor(x * 32768))::BIGINT)::BIGINT AS e, count(*) AS n FROM flat GROUP BY ALL)"""
 
+_SOUNDS = """
+vecs AS (SELECT *, row_number() OVER (PARTITION BY label, vec_id // 1000 ORDER BY vec_id) AS r FROM embeddings),
+raw AS (SELECT label || '-' || vec_id // 1000 AS stem, r, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS j FROM vecs),
+sound AS (SELECT stem, row_number() OVER (PARTITION BY stem ORDER BY r, j) AS k, greatest(-32768, least(32767, floor(x * 32768)))::BIGINT AS p FROM raw)"""
+
 _OUTCOMES = """
 segs AS (SELECT source AS recording_id, doc_id AS segment_idx, lang AS language, n_chars AS dur_ms FROM documents),
 res AS (SELECT s.recording_id, s.segment_idx, CASE WHEN l.quality = 1 THEN 'ok' ELSE 'error' END AS status FROM segs s JOIN labels l ON l.doc_id = s.segment_idx)"""
@@ -297,5 +381,17 @@ SELECT recording_id, segment_idx, dur_ms, done_ms, done_ms::DOUBLE / whole::DOUB
     "transcribe_fake": _ANSWERS,
     "incremental_results": _ANSWERS,
     "state_reload": f"WITH {_OUTCOMES} SELECT recording_id, segment_idx, CASE WHEN segment_idx % 5 = 0 THEN 1 ELSE 0 END AS attempt, CASE WHEN segment_idx % 5 = 0 THEN 'ok' ELSE status END AS status FROM res",
+    "scan_media": f"WITH {_SOUNDS} SELECT stem, '.wav' AS ext, 44 + 2 * count(*) AS length, stem || '.srt' AS srt_name FROM sound GROUP BY stem",
+    "scan_pcm_wav": f"""WITH {_SOUNDS} SELECT stem, (k - 1) // 1600 AS block_no, (k - 1) // 1600 * 100 AS start_ms, count(*) AS n, sum(p * ((k - 1) % 1600 + 1))::BIGINT AS weighed, NULL::VARCHAR AS error FROM sound GROUP BY ALL""",
+    "state_files": "SELECT conv_id || '.mp4' AS recording_id, turn AS segment_idx, CASE WHEN length(text) % 7 = 0 THEN 1 ELSE 0 END AS attempt, 'ok' AS status, 'en' AS language, CASE WHEN length(text) % 7 <> 0 THEN text END AS said FROM conversations",
+    "successful_results": f"WITH {_OUTCOMES} SELECT s.recording_id, segment_idx, s.language FROM segs s JOIN res r USING (segment_idx) WHERE r.status = 'ok'",
+    "ordered_results": f"SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY segment_idx) AS place FROM ({_ANSWERS})",
+    "language_flow": f"""WITH t AS (SELECT conv_id, turn, length(text) AS n, CASE WHEN length(text) % 6 = 0 THEN 'xx' END AS seg, length(text) % 5 = 0 AS bad, ['en', 'de', 'fr'][length(text) % 3 + 1] AS own FROM conversations),
+f AS (SELECT conv_id, CASE WHEN NOT bad THEN coalesce(seg, own) END AS heard FROM t WHERE turn = 0)
+SELECT conv_id::VARCHAR AS recording_id, turn AS segment_idx, CASE WHEN bad THEN 'error' ELSE 'ok' END AS status, CASE WHEN turn = 0 THEN coalesce(seg, CASE WHEN NOT bad THEN own END) ELSE coalesce(seg, heard, CASE WHEN NOT bad THEN own END) END AS language FROM t LEFT JOIN f USING (conv_id)""",
+    "aligned_results": f"""WITH {_OUTCOMES} SELECT recording_id, segment_idx, CASE WHEN language = 'de' OR dur_ms % 10 = 0 THEN 'error' ELSE 'ok' END AS status,
+  CASE WHEN language = 'de' THEN 'No alignment model for de' WHEN dur_ms % 10 = 0 THEN 'ValueError: no sound' END AS error, CASE WHEN language <> 'de' AND dur_ms % 10 <> 0 THEN 'align-' || language END AS word, CASE WHEN language <> 'de' AND dur_ms % 10 <> 0 THEN dur_ms * 2.0::DOUBLE END AS "end" FROM segs""",
+    "srt_files": f"WITH {_WORDS} SELECT recording_id || '.srt' AS name, srt FROM ({_DOCUMENT})",
     "srt_roundtrip": f"WITH {_WORDS} SELECT recording_id::VARCHAR AS recording_id, srt FROM ({_DOCUMENT})",
 }
+ORACLES["stored_segments"] = f"SELECT recording_id::VARCHAR AS recording_id, run_key, segment_idx, start_ms, end_ms FROM ({ORACLES['segment_bounds']}), (SELECT unnest(['one', 'two']) AS run_key)"

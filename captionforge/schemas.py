@@ -33,6 +33,17 @@ RESULTS = T.StructType(
         *ANSWER.fields,
     ]
 )
+_KINDS = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType()}
+
+
+def _flat(columns: str) -> T.StructType:
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in (c.split() for c in columns.split(","))])
+
+
+#: Cuts of a run; attempt 1 adds the recording's language to what was cut without one.
+CUTS = _flat("recording_id string, run_key string, segment_idx int, attempt int, start_ms long, end_ms long, detected_language string")
+#: What became of a recording of a run: how often it was opened, why it can't be read, its length and number of cuts.
+MANIFEST = _flat("recording_id string, run_key string, attempt int, status string, error string, length_ms long, n_segments int")
 #: A state file of the older kind: one JSON object for one recording.
 STATE = T.StructType(
     [

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from captionforge.schemas import RESULTS, STATE
+from captionforge.operators.runs import latest, merge_outcomes
+from captionforge.schemas import CUTS, MANIFEST, RESULTS, STATE
+from captionforge.sources.log_table import LogTable
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:
@@ -25,15 +27,38 @@ def state_results(state: DataFrame, run_key: str) -> DataFrame:
     )
 
 
-def write_results(results: DataFrame, path: str) -> None:
-    """Appends results, by run; a reader takes the latest of each segment (``merge_outcomes``)."""
-    results.write.mode("append").partitionBy("run_key").parquet(path)
+def results_table(spark: SparkSession, path: str) -> LogTable:
+    """Results of segments; the latest attempt counts."""
+    return LogTable(spark, path, RESULTS, merge=merge_outcomes)
+
+
+def segments_table(spark: SparkSession, path: str) -> LogTable:
+    """Cuts of recordings; a later row of a segment has its language."""
+    return LogTable(spark, path, CUTS, merge=merge_outcomes)
+
+
+def manifest_table(spark: SparkSession, path: str) -> LogTable:
+    """What became of each recording."""
+    return LogTable(spark, path, MANIFEST, merge=lambda rows: latest(rows, "recording_id", "run_key"))
+
+
+def write_results(results: DataFrame, path: str, batch: str | None = None) -> None:
+    """Appends results; a batch that is written again under its name replaces itself."""
+    results_table(results.sparkSession, path).append(results, batch)
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RESULTS).parquet(path)
+    """The latest outcome of each segment of each run."""
+    return results_table(spark, path).read()
 
 
 def write_segments(segments: DataFrame, path: str) -> None:
-    """Replaces the runs that ``segments`` holds and leaves others."""
-    segments.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_key").parquet(path)
+    """Appends the cuts of runs, with the language if it is known (``detected_language``)."""
+    rows = segments
+    for name, value in (("attempt", F.lit(0)), ("detected_language", F.lit(None).cast("string"))):
+        rows = rows if name in rows.columns else rows.withColumn(name, value)
+    segments_table(segments.sparkSession, path).append(rows)
+
+
+def read_segments(spark: SparkSession, path: str) -> DataFrame:
+    return segments_table(spark, path).read()
