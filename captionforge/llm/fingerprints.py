@@ -50,6 +50,11 @@ def _count(x: Column) -> Column:
     return x.bitwiseAND(F.lit(MASK))
 
 
+def _signed(x: Column) -> Column:
+    """The count, with the upper half of its range below 0, as a deletion before the insertion leaves it."""
+    return _count(x).bitwiseXOR(F.lit(1 << (BITS - 1))) - F.lit(1 << (BITS - 1))
+
+
 def _at(lane: Column, count: Column) -> Column:
     return F.shiftleft(lane, BITS).bitwiseOR(count.bitwiseAND(F.lit(MASK)))
 
@@ -107,7 +112,7 @@ def squares(lanes: Column) -> Column:
     state = F.struct(F.lit(-1).cast("long").alias("bucket"), zero.alias("sum"), zero.alias("total"))
 
     def step(s: Column, x: Column) -> Column:
-        bucket, value = F.shiftright(x, BITS + 1), F.when(_lane(x).bitwiseAND(F.lit(1)) == 1, _count(x)).otherwise(-_count(x))
+        bucket, value = F.shiftright(x, BITS + 1), F.when(_lane(x).bitwiseAND(F.lit(1)) == 1, _signed(x)).otherwise(-_signed(x))
         more = bucket == s["bucket"]
         return F.struct(bucket.alias("bucket"), F.when(more, s["sum"] + value).otherwise(value).alias("sum"), F.when(more, s["total"]).otherwise(s["total"] + s["sum"] * s["sum"]).alias("total"))
 

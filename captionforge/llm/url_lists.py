@@ -19,9 +19,12 @@ from pyspark.sql import functions as F
 from captionforge.llm.common import table
 
 
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#@]*\]|[^/?#:@\[]+)"
+
+
 def host_of(url: Column) -> Column:
-    """The lower-case host, null where there is none."""
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1))
+    """The lower-case host, without a dot at its end, an address in brackets whole; null where there is none."""
+    host = F.regexp_replace(F.lower(F.regexp_extract(url, HOST, 1)), r"\.$", "")
     return F.when(host != "", host)
 
 
@@ -41,14 +44,15 @@ def intervals(changes: DataFrame) -> DataFrame:
 
 def judged(captures: DataFrame, changes: DataFrame, url: str = "url", fetched: str = "fetched") -> DataFrame:
     """``captures`` with host, blocked, pattern and since."""
-    rows = captures.withColumn("host", host_of(F.col(url)))
-    moments = rows.select(F.col("host").alias("h"), F.col(fetched).alias("t")).filter("h is not null and t is not null").distinct()
+    host = host_of(F.col(url))
+    moments = captures.select(host.alias("h"), F.col(fetched).alias("t")).filter("h is not null and t is not null").distinct()
     tried = moments.select("h", "t", F.explode(suffixes(F.col("h"))).alias("pattern"))
     active = tried.join(intervals(changes), "pattern").filter((F.col("since") <= F.col("t")) & (F.col("until").isNull() | (F.col("t") < F.col("until"))))
-    verdict = active.groupBy("h", "t").agg(F.max(F.struct(F.length("pattern"), "pattern", "since")).alias("v"))
-    out = rows.join(verdict, (F.col("host") == F.col("h")) & (F.col(fetched) == F.col("t")), "left")
+    verdict = active.groupBy(F.col("h").alias("__u_h"), F.col("t").alias("__u_t")).agg(F.max(F.struct(F.length("pattern"), "pattern", "since")).alias("__u_v"))
+    rows = captures.withColumn("__u_host", host)
+    out = rows.join(verdict, (F.col("__u_host") == F.col("__u_h")) & (F.col(fetched) == F.col("__u_t")), "left")
     names = [c for c in captures.columns if c not in ("host", "blocked", "pattern", "since")]
-    return out.select(*names, "host", F.col("v").isNotNull().alias("blocked"), F.col("v.pattern").alias("pattern"), F.col("v.since").alias("since"))
+    return out.select(*names, F.col("__u_host").alias("host"), F.col("__u_v").isNotNull().alias("blocked"), F.col("__u_v.pattern").alias("pattern"), F.col("__u_v.since").alias("since"))
 
 
 def _number(name: str, salt: str) -> Column:
@@ -83,7 +87,7 @@ _SQL_DAY = "(TIMESTAMP '2024-01-01' + to_days(({})::INTEGER))"
 _FIRST, _GAP = f"{_sql_number('first')} % 15", f"(1 + {_sql_number('gap')} % 10)"
 ORACLE = f"""
 WITH captures AS (
-  SELECT page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '') AS host,
+  SELECT page_id, nullif(regexp_replace(lower(regexp_extract(url, '{HOST}', 1)), '\\.$', ''), '') AS host,
          TIMESTAMP '2024-01-01' + to_minutes(((page_id * 7919) % 43200)::INTEGER) AS fetched FROM pages),
 hosts AS (SELECT DISTINCT host AS pattern FROM captures WHERE host IS NOT NULL),
 domains AS (SELECT DISTINCT regexp_replace(pattern, '^[^.]+\\.', '') AS pattern FROM hosts),

@@ -365,3 +365,12 @@ def test_pipeline(spark, docs, empty):
         packed = corpus_pipeline.STAGES[-1][1](spark, rows, "")
         assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in rows.select("doc_id").distinct().collect()}
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 100
+
+
+def test_url_lists_with_clashing_names_and_odd_hosts(spark):
+    urls = ["http://[::1]/x", "http://Bad.com./", "http://u@[fe80::2]:80/", "http://a.bad.com:80/", "http://./", "http://good.com"]
+    rows = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "k long, url string").withColumn("fetched", F.lit(5))
+    rows = rows.withColumns({c: F.lit("x") for c in ("h", "t", "v", "pattern", "since", "until", "action", "at")})
+    changes = spark.createDataFrame([(p, "add", 1) for p in ("bad.com", "[::1]", "[fe80::2]")], "pattern string, action string, at int")
+    got = {r.k: (r.host, r.blocked, r.pattern, r.h) for r in url_lists.judged(rows, changes).collect()}
+    assert got == {0: ("[::1]", True, "[::1]", "x"), 1: ("bad.com", True, "bad.com", "x"), 2: ("[fe80::2]", True, "[fe80::2]", "x"), 3: ("a.bad.com", True, "bad.com", "x"), 4: (None, False, None, "x"), 5: ("good.com", False, None, "x")}

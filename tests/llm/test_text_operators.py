@@ -228,3 +228,12 @@ def test_crc_of_pieces(spark):
     ids = Tokenizer.from_file(P.path("word_bpe_49k.json")).encode("hello world", add_special_tokens=False).ids + [1]
     assert row.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes()) and row.length == len(ids)
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_fingerprints_survive_deletion_before_insertion(spark):
+    v = lambda t: fingerprints.vector(F.lit(t))
+    early = fingerprints.delete(v("a. b"), v("c. d. d"))
+    row = spark.range(1).select(
+        fingerprints.likeness(early, v("a. b")).alias("near"), fingerprints.likeness(early, early).alias("same"), (fingerprints.insert(early, v("c. d. d")) == v("a. b")).alias("back"), fingerprints.likeness(fingerprints.insert(early, v("c. d. d")), v("a. b")).alias("whole")
+    ).first()
+    assert 0 <= row.near < 1 and row.same == 1.0 and row.back and row.whole == 1.0
