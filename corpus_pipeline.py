@@ -39,7 +39,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality rules", good), ("line dedup", fresh_lines), ("n-gram Jaccard join", distinct), ("secret scans", safe), ("packing", packed)]
-ORACLE_SQL = None  # edit-distance groups and the tokenizer have no SQL; stages are tested one by one, the whole is not compared with brute force
+ORACLE_SQL = None  # edit-distance groups and the tokenizer have no SQL; a test compares the whole with its stages in plain Python
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
