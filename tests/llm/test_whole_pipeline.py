@@ -28,9 +28,11 @@ def corpus(rng):
     texts = [list(b) for b in bodies]
     texts += [[*b[:2], plate, *b[2:]] for b in bodies[:3]] + [[variant(rng, plate), *(line(rng, 12) for _ in range(5))] for _ in range(3)]
     texts += [[notice, *(line(rng, 13) for _ in range(5))] for _ in range(4)]
-    long = " ".join(line(rng, 90) for _ in range(2)).split(" ")
-    for k in range(5):  # near copies as one line each, too unlike for line dedup, alike by shingles
-        texts.append([" ".join([*long[k * 9 :], *(line(rng, 1) for _ in range(k * 5))])])
+    for _ in range(2):  # near copies whose lines break elsewhere, so that they are alike by shingles alone
+        words = line(rng, 150).split(" ")
+        for k, wide in enumerate((11, 17, 26)):
+            words[20 * k] = "changed"
+            texts.append([" ".join(words[a : a + wide]) for a in range(0, 150, wide)])
     texts += [[line(rng, 10)], ["spam spam eggs " * 40], [""]]
     copied = "Xy9Kd03jfLs82hGq1ZpW"
     for k in range(6):
@@ -94,7 +96,7 @@ def test_whole_pipeline(spark, tmp_path):
     for stage in (good, fresh, distinct, safe):
         want = list(stage(want))
         steps.append(len(want))
-    assert len(rows) > steps[0] > steps[2] and len({t for _, t, *_ in want if secrets.MARK in t}) >= 6  # each stage has something to do
+    assert len(rows) > steps[0] > steps[1] > steps[2] and len({t for _, t, *_ in want if secrets.MARK in t}) >= 6  # each stage has something to do
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for (name, stage), reference in zip(corpus_pipeline.STAGES[:-1], (good, fresh, distinct, safe), strict=True):
         rows = list(reference(rows))
