@@ -38,8 +38,8 @@ class Search:
     scale: int = 256
     block: int = 4096  # candidates in a row
     queries: int = 1024  # in a row
-    step: int = 1024  # candidates between two looks at the kth scores
-    stages: tuple[int, ...] = (8, 24)  # coordinates of the partial sums
+    step: int = 512  # candidates between two looks at the kth scores
+    stages: tuple[int, ...] = (8, 24, 40, 52)  # coordinates of the partial sums
     fit_rows: int = 4096
     group_bytes: int = 16 << 20  # of the queries that meet all candidates at a time
 
@@ -157,14 +157,17 @@ class Best:
             bar = (self.kth - slack)[alive]
             hit = self.q_id[alive][:, None] != ids[part][None, :]
             self.compared += hit.size
-            for n, h in enumerate(self.stages):
-                if n and hit.mean() > 0.1:
-                    break  # the whole product costs less
-                if n == 0:
-                    hit &= q.r[alive, :h] @ c.r[part, :h].T + q.left[h][alive][:, None] * c.left[h][part][None, :] >= bar[:, None]
+            done, partial = 0, np.zeros(hit.shape)
+            for h in self.stages:
+                own = slice(done, h)
+                if hit.mean() > 0.1:
+                    partial += q.r[alive, own] @ c.r[part, own].T
+                    hit &= partial + q.left[h][alive][:, None] * c.left[h][part][None, :] >= bar[:, None]
                 else:
                     i, j = np.nonzero(hit)
-                    hit[i, j] = np.einsum("ij,ij->i", q.r[alive[i], :h], c.r[a + j, :h]) + q.left[h][alive[i]] * c.left[h][a + j] >= bar[i]
+                    partial[i, j] += np.einsum("ij,ij->i", q.r[alive[i], own], c.r[a + j, own])
+                    hit[i, j] = partial[i, j] + q.left[h][alive[i]] * c.left[h][a + j] >= bar[i]
+                done = h
             i, j = np.nonzero(hit)
             self.scored += len(i)
             exact = most < 1 << 53  # then doubles hold every sum
