@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from captionforge.config import Cutting
@@ -14,7 +14,7 @@ from captionforge.config import Cutting
 SAMPLES_PER_MS = 16
 FULL_SCALE = 32_768
 BLOCK_MS = 10_000
-FANOUT = 10_000  # blocks of one level that make one of the next
+FANOUT = 1_000_000  # blocks of one level that make one of the next
 WIDEST = 10**16  # milliseconds; no recording is as long
 
 
@@ -78,10 +78,10 @@ def silent_windows(frames: DataFrame, cutting: Cutting = Cutting(), block_ms: in
     return rows.filter(own & (F.col("sum") < energy_limit(cutting.threshold_db, samples_per_frame * k))).select("recording_id", "ms")
 
 
-def islands(rows: DataFrame, width: int) -> DataFrame:
-    """Ranges (recording_id, a, b) with those that touch each other made one, inside blocks of ``width``."""
+def islands(rows: DataFrame, block: Column) -> DataFrame:
+    """Ranges (recording_id, a, b) with those that touch each other made one, inside blocks."""
     order = Window.partitionBy("recording_id", "block").orderBy("a")
-    rows = rows.withColumn("block", F.expr(f"a div {width}"))
+    rows = rows.withColumn("block", block)
     rows = rows.withColumn("fresh", F.when(F.col("a") == F.lag("b").over(order) + 1, 0).otherwise(1))
     rows = rows.withColumn("island", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.groupBy("recording_id", "block", "island").agg(F.min("a").alias("a"), F.max("b").alias("b")).select("recording_id", "a", "b")
@@ -90,18 +90,17 @@ def islands(rows: DataFrame, width: int) -> DataFrame:
 def silence_runs(windows: DataFrame, block_ms: int = BLOCK_MS, fanout: int = FANOUT) -> DataFrame:
     """recording_id, a and b: first and last start of each run of adjacent silent windows.
 
-    Runs are found inside blocks; only those that touch a block's edge go on, to be joined inside blocks of
-    ``fanout`` blocks, and so on. So no partition holds more than a block's frames or ``2 * fanout`` edges, however
-    long a recording or a silence is.
+    Runs are found inside blocks; those that touch a block's edge are then joined inside blocks of ``fanout``
+    blocks, and so on, while the others stay in their own. So no partition holds more than a block's frames or
+    ``2 * fanout`` edges, however long a recording or a silence is.
     """
-    rows, width, done = islands(windows.select("recording_id", F.col("ms").alias("a"), F.col("ms").alias("b")), block_ms), block_ms, []
+    place = lambda wide, edge: F.struct(edge.alias("edge"), F.when(edge, F.expr(f"a div {wide}")).otherwise(F.expr(f"a div {block_ms}")).alias("n"))
+    rows, width = windows.select("recording_id", F.col("ms").alias("a"), F.col("ms").alias("b")), block_ms
+    rows = islands(rows, place(width, F.lit(True)))
     while width < WIDEST:
         edge = (F.col("a") % width == 0) | ((F.col("b") + 1) % width == 0)
-        done.append(rows.filter(~edge))
         width *= fanout
-        rows = islands(rows.filter(edge), width)
-    for part in done:
-        rows = rows.unionByName(part)
+        rows = islands(rows, place(width, edge))
     return rows
 
 

@@ -77,7 +77,7 @@ def test_energy_is_one_pass_over_batches(spark):
     assert {(r.recording_id, r.ms, r.e, r.error) for r in audio.frame_energy(failing).collect()} == {("a", 0, 16, None), ("b", None, None, "bad")}
 
 
-@pytest.mark.parametrize("fanout", [2, 3, 10_000])
+@pytest.mark.parametrize("fanout", [3, 20, 1_000_000])
 def test_runs_over_blocks(spark, fanout):
     """A silence over more than five blocks, one that ends at a block's edge, neighbours, and single frames."""
     starts = {"a": [*range(37, 96), 100, *range(110, 120), *range(120, 121), 200], "b": [*range(9, 11), 19, 20, 29], "c": [0, *range(1_000_000, 1_000_500)]}
