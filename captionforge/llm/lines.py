@@ -4,15 +4,15 @@ A line is what stands between ``\n``. Normalising lower-cases it and takes its w
 without any stands for itself, trimmed. Lines with equal words form a class, however short they are; blank lines are
 never removed. Lines of ``min_chars`` characters or more have sketches: the hashes of their distinct words, the longest
 first and then in the order of the hashes, and those of their character 6-grams if the line is short or unspaced. Three
-neighbours among the first hashes make a block. Classes that share two blocks and, in lines of many words, half of their words are candidates, and link when their edit
-similarity, 1 - distance / longer length, is at least ``similarity``. So a link is missed if fewer survive
-the edits; the README gives the measured recall. Of each connected group the first occurrence by doc_id and line number
+neighbours among the first hashes make a block. Classes that share two blocks are candidates, and link when their edit
+similarity, 1 - distance / longer length, is at least ``similarity``. So a link is missed if fewer blocks survive the
+edits; the README gives the measured recall. Of each connected group the first occurrence by doc_id and line number
 stays.
 
 Each class first meets the least class of the block it shares most blocks with. Blocks that this leaves in more than one
 group go on: some of the classes outside a block's largest group meet all others of other groups, four times as many
 each round, until the block is one group or all of them have met. So no link is lost, a block of many copies costs one
-comparison for each, and the rounds grow with the logarithm of a block's size.
+comparison for each, and the rounds grow with the logarithm of a block's size. No pair is compared twice.
 
 Null text has no lines. Rows equal in doc_id and text share one decision, so an exact repeat of a row keeps what the row
 keeps. A null doc_id comes first. Lines of any length are compared whole. An empty table gives an empty result; other
@@ -37,7 +37,7 @@ class Fuzzy:
     short_line: int = 64
     word_blocks: int = 8
     gram_blocks: int = 14
-    many_words: int = 16
+    ahead: int = 8  # words that an insertion or deletion may have to be found at once
     shared_blocks: int = 2
     pivots: int = 2  # of a block in the first round
     growth: int = 4
@@ -91,32 +91,51 @@ def sketched(lines: DataFrame, p: Fuzzy) -> DataFrame:
     return out.select(*_AT, "id", blocks.alias("blocks"))
 
 
+def edits(x: Column, y: Column, ahead: int) -> Column:
+    """What one way to turn the words ``x`` into the words ``y`` costs in characters, so never less than the edit distance.
+
+    One walk over both. Where they differ and the next words don't, a word is replaced; else words of ``y`` are inserted
+    or one is deleted if the word and its neighbour follow among the next ``ahead`` of the other side; else it is replaced.
+    """
+    size = lambda w: F.coalesce(F.char_length(w), F.lit(0)) + 1  # noqa: E731  with the blank beside it
+
+    def follows(words: Column, at: Column, w: Column, after: Column) -> Column:
+        found = F.lit(0)
+        for k in range(ahead, 0, -1):
+            found = F.when((F.get(words, at + k) == w) & F.get(words, at + k + 1).eqNullSafe(after), k).otherwise(found)
+        return found
+
+    def step(s: Column, w: Column) -> Column:
+        i, j, cost, other = s["i"], s["j"], s["cost"], F.get(y, s["j"])
+        state = lambda to, more: F.struct((i + 1).alias("i"), to.alias("j"), (cost + more).alias("cost"))
+        replaced = state(j + 1, F.greatest(size(w), size(other)) - 1)
+
+        def differ(f: Column) -> Column:
+            inserted = sum((F.when(f["new"] > k, size(F.get(y, j + k))).otherwise(0) for k in range(ahead)), F.lit(0))
+            insert = (f["new"] > 0) & ((f["old"] == 0) | (f["new"] <= f["old"]))
+            return F.when(insert, state(j + f["new"] + 1, inserted)).when(f["old"] > 0, state(j, size(w))).otherwise(replaced)
+
+        after, other_after = F.get(x, i + 1), F.get(y, j + 1)
+        out = F.when(other == w, state(j + 1, F.lit(0))).when(other.isNull(), state(j, size(w))).when(after == other_after, replaced)
+        return out.otherwise(let(F.struct(follows(y, j, w, after).alias("new"), follows(x, i, other, other_after).alias("old")), differ))
+
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("cost"))
+    rest = lambda s: F.aggregate(F.slice(y, s["j"] + 1, F.size(y)), s["cost"], lambda n, w: n + size(w))
+    return F.aggregate(x, start, step, rest)
+
+
 def linked(pairs: DataFrame, texts: DataFrame, p: Fuzzy) -> DataFrame:
     """The pairs (a, b) whose lines are similar enough.
 
-    Cheap tests first: lengths; words (in lines of ``many_words`` at least half of the distinct ones must be shared,
-    else most words differ); and replacing word by word, which is one way to edit. Words that both lines begin or end
-    with don't change the distance and are taken off. Small distances are tried first, as they cost less.
+    Lengths come first, then the cost of one way to edit, linear in the words, which settles nearly all links; the edit
+    distance itself is for the others.
     """
     side = lambda id_, x: texts.select(F.col("id").alias(id_), F.col("norm").alias(x), F.char_length("norm").alias(f"n{x}"))
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y", "nx", "ny", F.floor(F.greatest("nx", "ny") * (1 - p.similarity) + 1e-9).cast("int").alias("room"))
     both = both.filter((F.abs(F.col("nx") - F.col("ny")) <= F.col("room")) & (F.least("nx", "ny") >= p.min_chars))
-    both = both.select("a", "b", "room", F.split("x", " ").alias("wx"), F.split("y", " ").alias("wy"))
-    both = both.withColumn("same", F.zip_with("wx", "wy", lambda u, v: u.eqNullSafe(v))).withColumn("ends", F.zip_with(F.reverse("wx"), F.reverse("wy"), lambda u, v: u.eqNullSafe(v)))
-    least = F.least(F.size("wx"), F.size("wy"))
-    front = F.array_position("same", F.lit(False)) - 1  # -1: all words are equal
-    both = both.withColumn("front", F.when(front < 0, least).otherwise(front).cast("int"))
-    back = F.array_position("ends", F.lit(False)) - 1
-    both = both.withColumn("back", F.least(F.when(back < 0, least).otherwise(back).cast("int"), least - F.col("front")))
-    by_word = F.zip_with("wx", "wy", lambda u, v: F.when(u == v, 0).otherwise(F.greatest(F.char_length(u), F.char_length(v))))
-    cheap = (F.size("wx") == F.size("wy")) & (F.aggregate(by_word, F.lit(0), lambda s, n: s + n) <= F.col("room"))
-    apart = (least >= p.many_words) & (2 * F.size(F.array_intersect("wx", "wy")) < F.least(F.size(F.array_distinct("wx")), F.size(F.array_distinct("wy"))))
-    both = both.withColumn("known", F.when(cheap, True).when(apart, False))
-    middle = lambda w: F.when(F.col("known").isNull(), F.array_join(F.slice(w, F.col("front") + 1, F.size(w) - F.col("front") - F.col("back")), " "))
-    # written, as filters would be pushed into the steps and repeat them
-    both = keep(both.select("a", "b", "room", "known", middle("wx").alias("x"), middle("wy").alias("y")), "lines-compared")
-    within = lambda part: F.call_function("levenshtein", F.col("x"), F.col("y"), F.floor(F.col("room") / part).cast("int")) >= 0
-    return both.filter(F.coalesce("known", F.when(within(64), True).when(within(16), True).when(within(4), True).otherwise(within(1)))).select("a", "b")
+    cost = let(F.struct(F.split("x", " ").alias("x"), F.split("y", " ").alias("y")), lambda w: edits(w["x"], w["y"], p.ahead))
+    within = F.call_function("levenshtein", F.col("x"), F.col("y"), F.col("room")) >= 0
+    return both.filter((cost <= F.col("room")) | within).select("a", "b")
 
 
 def sharing(pairs: DataFrame, sketches: DataFrame, p: Fuzzy) -> DataFrame:
@@ -131,7 +150,8 @@ def link_classes(members: DataFrame, texts: DataFrame, p: Fuzzy) -> DataFrame:
     members = keep(members.join(sketches.select("id"), "id", "left_semi"), "lines-able")
     votes = members.filter("pivot < id").groupBy("id", "pivot").agg(F.count("*").alias("votes")).filter(F.col("votes") >= p.shared_blocks)
     stars = votes.groupBy("id").agg(F.max(F.struct("votes", "pivot")).alias("best")).select(F.col("best.pivot").alias("a"), F.col("id").alias("b"))
-    links = keep(linked(stars, texts, p), "lines-links")
+    tested = keep(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "lines-tested")
+    links = keep(linked(tested, texts, p), "lines-links")
     open_, most, turn = members.select("block", "id"), p.pivots, 0
     while True:
         comps = components(links, "lines")
@@ -146,7 +166,8 @@ def link_classes(members: DataFrame, texts: DataFrame, p: Fuzzy) -> DataFrame:
         pivot = (F.col("comp") != F.col("major")) & (F.pmod(F.xxhash64("id", F.lit(turn)), F.col("others")) < most)
         chosen = rows.filter(pivot).select("block", F.col("id").alias("pivot"), F.col("comp").alias("pivot_comp"))
         pairs = rows.select("block", "id", "comp").join(chosen, "block").filter("comp <> pivot_comp").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        links = keep(links.unionByName(linked(sharing(pairs, sketches, p), texts, p)), "lines-links")
+        pairs = keep(sharing(pairs.join(tested, ["a", "b"], "left_anti"), sketches, p), "lines-pairs")
+        links, tested = keep(links.unionByName(linked(pairs, texts, p)), "lines-links"), tested.unionByName(pairs)
         open_ = rows.filter(~pivot & (F.col("others") > most)).select("block", "id")
         most, turn = most * p.growth, turn + 1
 

@@ -13,6 +13,7 @@ import regex
 from pyspark.sql import functions as F
 
 from captionforge.llm import hmm, jaccard, lines, substrings, url_lists
+from captionforge.llm.common import let
 from captionforge.llm.components import components
 from tests.llm.conftest import prose
 
@@ -248,6 +249,38 @@ def test_lines_long_and_repeated(spark):
     assert gone == {1: 4950, 3: 1}
 
 
+def test_edits_bound_the_distance(spark):
+    """The walk over words never costs less than the edit distance, and is exact for one inserted, deleted or replaced word."""
+    dice = random.Random(5)
+    words = ["".join(dice.choice("abcdef") for _ in range(dice.randint(1, 7))) for _ in range(40)]
+    rows = []
+    for _ in range(400):
+        x = [dice.choice(words) for _ in range(dice.randint(1, 25))]
+        y = list(x)
+        for _ in range(dice.randint(0, 8)):
+            at, n = dice.randint(0, len(y)), dice.randint(1, 3)
+            y[at : at + n * dice.randint(0, 1)] = [dice.choice(words) for _ in range(n * dice.randint(0, 1))]
+        rows.append((" ".join(x), " ".join(y), False))
+    plain = [f"word{i}" for i in range(12)]
+    for at in range(12):
+        rows += [(" ".join(plain), " ".join(plain[:at] + new + plain[at + gone :]), True) for new, gone in ((["other"], 0), ([], 1), (["strange"], 1))]
+    cost = let(F.struct(F.split("x", " ").alias("x"), F.split("y", " ").alias("y")), lambda w: lines.edits(w["x"], w["y"], 8))
+    for r in spark.createDataFrame(rows, "x string, y string, one boolean").select("*", cost.alias("cost"), F.levenshtein("x", "y").alias("d")).collect():
+        assert r.cost >= r.d
+        assert not r.one or r.cost <= 8
+
+
+def test_pairs_are_compared_once(spark, monkeypatch):
+    """Unlike lines with the same rare words meet, each pair once."""
+    dice = random.Random(3)
+    rare = " ".join(f"extraordinarily{c}" for c in "abcde")
+    rows = [(i, rare + " " + " ".join("".join(dice.choice("etaoinshr") for _ in range(7)) for _ in range(14))) for i in range(60)]
+    seen, linked = [], lines.linked
+    monkeypatch.setattr(lines, "linked", lambda pairs, texts, p: (seen.extend(map(tuple, pairs.select("a", "b").collect())), linked(pairs, texts, p))[1])
+    assert lines.decisions(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+    assert len(seen) == len(set(seen)) == 60 * 59 // 2
+
+
 def test_lines_odd_rows(docs, odd_rows, empty):
     out = lines.dedup(docs)
     assert out.columns == docs.columns and out.count() == len(odd_rows)
