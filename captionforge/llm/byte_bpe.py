@@ -29,6 +29,7 @@ from captionforge.llm.common import small_batches, table
 
 BLOCK = 8  # bits of a rank below the top bitmap
 CACHED = 400_000  # pre-tokens in each of two generations that a worker remembers
+CACHED_CHARS = 32 << 20  # and characters of them
 RUN = 50_000  # pre-tokens of a very long text at a time
 LONG = 1 << 20
 SLICE = 1 << 20  # characters of text worked on at once
@@ -111,12 +112,18 @@ class Encoded(dict):
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.old: dict[str, bytes] = {}
+        self.chars = 0
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHED:
+        ids = self.old.get(piece) or array("i", merge(piece.encode(), self.ranks)).tobytes()
+        if len(piece) > CACHED_CHARS:
+            return ids
+        if len(self) >= CACHED or self.chars + len(piece) > CACHED_CHARS:
             self.old = dict(self)
             self.clear()
-        self[piece] = ids = self.old.get(piece) or array("i", merge(piece.encode(), self.ranks)).tobytes()
+            self.chars = 0
+        self.chars += len(piece)
+        self[piece] = ids
         return ids
 
 

@@ -4,7 +4,7 @@ Each document's histogram of character classes and of its language's most common
 language's own histogram over the whole corpus by Jensen-Shannon distance (base 2, 0 to 1).
 
 Null text counts as empty. An empty text, or one under ``min_words``, fails the base rule. Divergence is judged only
-from ``min_judged_words`` words on. A null language is a language of its own. Every language with
+from ``min_judged_words`` words on. A null language and the empty one are one language. Every language with
 ``min_language_words`` words in the corpus has its own histogram; a smaller one has too little text for any, so its
 documents have the base verdict alone and no distances. Repeated rows each get their row; ties among common words go to
 the smaller word. Words and word windows are compared by 64-bit hashes. An empty table gives an empty result. Other

@@ -6,7 +6,7 @@ documents (repositories) and sources (owners). A value is a copied example if mo
 ``MIN_REPOS`` repositories or more, or if more than ``MANY_REPOS`` repositories do, of whatever owners; the others look
 live. Live mixed tokens become spans of kind ``owned``; base spans stay whatever their count.
 
-Null text counts as empty; a null source is an owner of its own. Positions are in code points, end exclusive. Rows
+Null text counts as empty; a null source and the empty one are one owner. Positions are in code points, end exclusive. Rows
 equal in doc_id and text share one set of spans, so repeated rows get equal results. An empty table gives an empty
 result. ``redact`` returns the columns it is given, whatever they are named.
 """

@@ -90,6 +90,18 @@ def test_byte_bpe(spark, docs, odd_rows):
     assert [r.decoded is None for r in byte_bpe.decode(lists, path).collect()] == [True, False, False, True]
 
 
+def test_byte_bpe_cache_is_bounded(monkeypatch):
+    """Neither many pre-tokens nor long ones fill a worker; what is forgotten is encoded again, alike."""
+    monkeypatch.setattr(byte_bpe, "CACHED_CHARS", 100)
+    ranks = byte_bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
+    known = byte_bpe.Encoded(ranks)
+    pieces = [c * n for c in "abcdefgh" for n in (3, 40, 60, 500)] * 2
+    for piece in pieces:
+        assert list(np.frombuffer(known[piece], "<i4")) == byte_bpe.merge(piece.encode(), ranks)
+        assert sum(map(len, known)) == known.chars <= 100
+        assert sum(map(len, known.old)) <= 100
+
+
 def test_fingerprints(spark, docs, odd_rows):
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("v", fingerprints.vector(F.col("text")))
     followed = fingerprints.with_next(rows).collect()
