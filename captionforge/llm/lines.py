@@ -9,10 +9,12 @@ similarity, 1 - distance / longer length, is at least ``similarity``. So a link
 edits; the README gives the measured recall. Of each connected group the first occurrence by doc_id and line number
 stays.
 
-Each class first meets the least class of the block it shares most blocks with. Blocks that this leaves in more than one
-group go on: some of the classes outside a block's largest group meet all others of other groups, four times as many
-each round, until the block is one group or all of them have met. So no link is lost, a block of many copies costs one
-comparison for each, and the rounds grow with the logarithm of a block's size. No pair is compared twice.
+Each class first meets the least class of the block it shares most blocks with. Of what this leaves, two groups that meet
+in a block are compared by the pair that shares most blocks. Blocks that are still more than one group go on: some of
+the classes outside a block's largest group meet all others of other groups, four times as many each round, until the
+block is one group or all of them have met; once few pairs are left, they are compared in one round. So no link is lost,
+a block of many copies costs one comparison for each, and the rounds grow with the logarithm of a block's size at most.
+No pair is compared twice. A round joins what it finds to the groups there are, without looking at older links.
 
 Null text has no lines. Rows equal in doc_id and text share one decision, so an exact repeat of a row keeps what the row
 keeps. A null doc_id comes first. Lines of any length are compared whole. An empty table gives an empty result; other
@@ -41,6 +43,7 @@ class Fuzzy:
     shared_blocks: int = 2
     pivots: int = 2  # of a block in the first round
     growth: int = 4
+    at_once: int = 64  # pairs for each row of an open block, up to which all that is left is compared in one round
 
 
 GRAM = 6
@@ -125,23 +128,23 @@ def edits(x: Column, y: Column, ahead: int) -> Column:
 
 
 def linked(pairs: DataFrame, texts: DataFrame, p: Fuzzy) -> DataFrame:
-    """The pairs (a, b) whose lines are similar enough.
+    """The pairs (a, b, further columns) whose lines are similar enough.
 
     Lengths come first, then the cost of one way to edit, linear in the words, which settles nearly all links; the edit
     distance itself is for the others.
     """
     side = lambda id_, x: texts.select(F.col("id").alias(id_), F.col("norm").alias(x), F.char_length("norm").alias(f"n{x}"))
-    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y", "nx", "ny", F.floor(F.greatest("nx", "ny") * (1 - p.similarity) + 1e-9).cast("int").alias("room"))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select(*pairs.columns, "x", "y", "nx", "ny", F.floor(F.greatest("nx", "ny") * (1 - p.similarity) + 1e-9).cast("int").alias("room"))
     both = both.filter((F.abs(F.col("nx") - F.col("ny")) <= F.col("room")) & (F.least("nx", "ny") >= p.min_chars))
     cost = let(F.struct(F.split("x", " ").alias("x"), F.split("y", " ").alias("y")), lambda w: edits(w["x"], w["y"], p.ahead))
     within = F.call_function("levenshtein", F.col("x"), F.col("y"), F.col("room")) >= 0
-    return both.filter((cost <= F.col("room")) | within).select("a", "b")
+    return both.filter((cost <= F.col("room")) | within).select(*pairs.columns)
 
 
 def sharing(pairs: DataFrame, sketches: DataFrame, p: Fuzzy) -> DataFrame:
-    """The pairs that share blocks enough."""
+    """The pairs that share blocks enough, and how many (``shared``)."""
     both = pairs.join(sketches.select(F.col("id").alias("a"), F.col("blocks").alias("x")), "a").join(sketches.select(F.col("id").alias("b"), F.col("blocks").alias("y")), "b")
-    return both.filter(F.size(F.array_intersect("x", "y")) >= p.shared_blocks).select("a", "b")
+    return both.withColumn("shared", F.size(F.array_intersect("x", "y"))).filter(F.col("shared") >= p.shared_blocks).select(*pairs.columns, "shared")
 
 
 def link_classes(members: DataFrame, texts: DataFrame, p: Fuzzy) -> DataFrame:
@@ -151,25 +154,41 @@ def link_classes(members: DataFrame, texts: DataFrame, p: Fuzzy) -> DataFrame:
     votes = members.filter("pivot < id").groupBy("id", "pivot").agg(F.count("*").alias("votes")).filter(F.col("votes") >= p.shared_blocks)
     stars = votes.groupBy("id").agg(F.max(F.struct("votes", "pivot")).alias("best")).select(F.col("best.pivot").alias("a"), F.col("id").alias("b"))
     tested = keep(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "lines-tested")
-    links = keep(linked(tested, texts, p), "lines-links")
-    open_, most, turn = members.select("block", "id"), p.pivots, 0
-    while True:
-        comps = components(links, "lines")
-        labelled = keep(open_.join(comps.withColumnRenamed("node", "id"), "id", "left").select("block", "id", F.coalesce("comp", "id").alias("comp")), "lines-labelled")
-        sizes = labelled.groupBy("block", "comp").agg(F.count("*").alias("size"))
+    comps = components(keep(linked(tested, texts, p), "lines-links"), "lines")
+    open_ = members.select("block", "id").join(comps.withColumnRenamed("node", "id"), "id", "left").select("block", "id", F.coalesce("comp", "id").alias("comp"))
+    most, turn, last = p.pivots * p.growth, 0, False
+    while not last:
+        open_ = keep(open_, "lines-labelled")
+        sizes = open_.groupBy("block", "comp").agg(F.count("*").alias("size"))
         mixed = sizes.groupBy("block").agg(F.sum("size").alias("m"), F.count("*").alias("comps"), F.max("size").alias("most"), F.max_by("comp", "size").alias("major"))
         mixed = mixed.filter("comps > 1").select("block", "major", (F.col("m") - F.col("most")).alias("others"))
-        rows = keep(labelled.join(mixed, "block"), "lines-open")
-        if rows.isEmpty():
-            return comps
+        rows = keep(open_.join(mixed, "block"), "lines-open")
+        left = rows.agg(F.count("*").alias("rows"), F.sum("others").alias("pairs")).first()
+        if not left["rows"]:
+            break
+        best, last = turn == 0, turn > 0 and left["pairs"] <= p.at_once * left["rows"]
         # all of the classes outside the largest group, or about ``most`` of them by their hashes
-        pivot = (F.col("comp") != F.col("major")) & (F.pmod(F.xxhash64("id", F.lit(turn)), F.col("others")) < most)
-        chosen = rows.filter(pivot).select("block", F.col("id").alias("pivot"), F.col("comp").alias("pivot_comp"))
-        pairs = rows.select("block", "id", "comp").join(chosen, "block").filter("comp <> pivot_comp").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        pairs = keep(sharing(pairs.join(tested, ["a", "b"], "left_anti"), sketches, p), "lines-pairs")
-        links, tested = keep(links.unionByName(linked(pairs, texts, p)), "lines-links"), tested.unionByName(pairs)
-        open_ = rows.filter(~pivot & (F.col("others") > most)).select("block", "id")
-        most, turn = most * p.growth, turn + 1
+        pivot = F.col("comp") != F.col("major")
+        pivot = pivot if last else pivot & (F.pmod(F.xxhash64("id", F.lit(turn)), F.col("others")) < most)
+        chosen = rows.filter(pivot).select("block", F.struct("id", "comp").alias("y"))
+        pairs = rows.select("block", F.struct("id", "comp").alias("x")).join(chosen, "block").filter("x.comp <> y.comp")
+        pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct().select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.comp").alias("comp_a"), F.col("y.comp").alias("comp_b"))
+        pairs = sharing(pairs.join(tested, ["a", "b"], "left_anti"), sketches, p)
+        if best:
+            groups = F.least("comp_a", "comp_b"), F.greatest("comp_a", "comp_b")
+            pairs = pairs.groupBy(*groups).agg(F.max(F.struct("shared", "a", "b", "comp_a", "comp_b")).alias("best")).select("best.*")
+        pairs = keep(pairs.select("a", "b", "comp_a", "comp_b"), "lines-pairs")
+        tested = tested.unionByName(pairs.select("a", "b"))
+        links = keep(linked(pairs, texts, p).select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).distinct(), "lines-links")
+        open_ = rows if best else rows.filter(~pivot & (F.col("others") > most))
+        if not links.isEmpty():
+            moved = components(links, "lines").select("node", F.col("comp").alias("to"))
+            alone = moved.join(comps, "node", "left_anti").select("node", F.col("to").alias("comp"))
+            comps = keep(comps.join(moved.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")).unionByName(alone), "lines-groups")
+            open_ = open_.join(moved.withColumnRenamed("node", "comp"), "comp", "left").withColumn("comp", F.coalesce("to", "comp"))
+        open_ = open_.select("block", "id", "comp")
+        most, turn = p.pivots if best else most * p.growth, turn + 1
+    return comps
 
 
 def decisions(docs: DataFrame, p: Fuzzy = Fuzzy()) -> DataFrame:

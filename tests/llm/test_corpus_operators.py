@@ -281,6 +281,20 @@ def test_pairs_are_compared_once(spark, monkeypatch):
     assert len(seen) == len(set(seen)) == 60 * 59 // 2
 
 
+def test_rounds_are_few(spark, monkeypatch):
+    """Groups are made anew only when a round has found links, and the last few pairs take one round."""
+    dice = random.Random(3)
+    rare = " ".join(f"extraordinarily{c}" for c in "abcde")
+    rows = [(i, rare + " " + " ".join("".join(dice.choice("etaoinshr") for _ in range(7)) for _ in range(14))) for i in range(60)]
+    rows += [(100 + i, variant(dice, rows[0][1])) for i in range(5)]
+    made, compared, groups, linked = [], [], lines.components, lines.linked
+    monkeypatch.setattr(lines, "components", lambda links, label: (made.append(1), groups(links, label))[1])
+    monkeypatch.setattr(lines, "linked", lambda pairs, texts, p: (compared.append(1), linked(pairs, texts, p))[1])
+    gone = {r.doc_id for r in lines.decisions(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert gone == {100, 101, 102, 103, 104}
+    assert len(compared) <= 3 and len(made) <= 2
+
+
 def test_lines_odd_rows(docs, odd_rows, empty):
     out = lines.dedup(docs)
     assert out.columns == docs.columns and out.count() == len(odd_rows)
