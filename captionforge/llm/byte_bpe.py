@@ -179,8 +179,28 @@ def with_list(batch: pa.RecordBatch, names: list[str], ids: str, parts: list[byt
 
 
 @lru_cache(maxsize=2)
-def vocabulary(path: str) -> dict[int, bytes]:
-    return {i: token for token, i in load_ranks(path).items()}
+def vocabulary(path: str) -> pa.Array:
+    """Each id's bytes, null where there is no such id."""
+    ranks = load_ranks(path)
+    tokens: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+    for token, i in ranks.items():
+        tokens[i] = token
+    return pa.array(tokens, pa.binary())
+
+
+def joined(lists: pa.ListArray, tokens: pa.Array) -> pa.Array:
+    """The bytes of each list of ids, all looked up at once: what is taken lies end to end already."""
+    values = lists.flatten()
+    raw = values.cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
+    inside = (raw >= 0) & (raw < len(tokens))
+    taken = tokens.take(pa.array(np.where(inside, raw, 0), mask=~inside))
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    ends = np.append(0, np.cumsum(sizes, dtype="i8"))
+    missing = np.append(0, np.cumsum(taken.is_null().to_numpy(zero_copy_only=False), dtype="i8"))[ends]
+    null = lists.is_null().to_numpy(zero_copy_only=False) | (np.diff(missing) > 0)
+    at = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(taken), 0).to_numpy(zero_copy_only=False), dtype="i8"))[ends]
+    data = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(at), taken.buffers()[2]])
+    return pc.if_else(pa.array(null), pa.scalar(None, pa.large_binary()), data).cast(pa.binary())
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -190,15 +210,9 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.name for f in kept]
-        token = vocabulary(path)
+        tokens = vocabulary(path)
         for batch in batches:
-            out = []
-            for x in batch.column(ids):
-                try:
-                    out.append(b"".join([token[i] for i in x.values.to_numpy(zero_copy_only=False).tolist()]) if x.is_valid else None)
-                except KeyError:
-                    out.append(None)
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(out, pa.binary())], names=[*names, decoded])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), joined(batch.column(ids), tokens)], names=[*names, decoded])
 
     small_batches(rows)
     return rows.mapInArrow(run, schema)

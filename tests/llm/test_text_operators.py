@@ -102,6 +102,18 @@ def test_byte_bpe_cache_is_bounded(monkeypatch):
         assert sum(map(len, known.old)) <= 100
 
 
+def test_lists_are_decoded_together():
+    """A batch of lists as list by list, with nulls, empty lists, unknown ids and slices."""
+    path = P.path("byte_bpe_50k.tiktoken")
+    token, dice = {i: t for t, i in byte_bpe.load_ranks(path).items()}, random.Random(1)
+    rows = [None, [], [5, None], [99_999], [-1], [50_255], *[[dice.choice(list(token)) for _ in range(dice.randint(0, 9))] for _ in range(50)]]
+    want = [None if r is None or not all(i in token for i in r) else b"".join(token[i] for i in r) for r in rows]
+    lists, tokens = pa.array(rows, pa.list_(pa.int32())), byte_bpe.vocabulary(path)
+    assert byte_bpe.joined(lists, tokens).equals(pa.array(want, pa.binary()))
+    for start, n in ((3, 40), (1, 1), (0, 0), (0, 2)):
+        assert byte_bpe.joined(lists.slice(start, n), tokens).to_pylist() == want[start : start + n]
+
+
 def test_fingerprints(spark, docs, odd_rows):
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("v", fingerprints.vector(F.col("text")))
     followed = fingerprints.with_next(rows).collect()
