@@ -9,11 +9,12 @@ similarity, 1 - distance / longer length, is at least ``similarity``. So a link
 edits; the README gives the measured recall. Of each connected group the first occurrence by doc_id and line number
 stays.
 
-Each class first meets the least class of the block it shares most blocks with. Of what this leaves, two groups that meet
-in a block are compared by the pair that shares most blocks. Blocks that are still more than one group go on: some of
-the classes outside a block's largest group meet all others of other groups, four times as many each round, until the
-block is one group or all of them have met; once few pairs are left, they are compared in one round. So no link is lost,
-a block of many copies costs one comparison for each, and the rounds grow with the logarithm of a block's size at most.
+Two blocks of a class make a key, so classes meet in a key only if they share two blocks, and only if their lengths
+permit a link. In each round every class outside a key's largest group meets one class of that group, the one that it
+shares most keys with; a round costs at most one comparison for each class. Then all pairs that still meet in a key and
+are of different groups are listed, each once, where its first two common blocks are; one pair of each two groups goes
+first if that leaves out half of them or more, then those that are still apart. So no link is lost, and a group of near
+copies costs a few comparisons for each; unlike lines of like lengths with the same two blocks are compared in all pairs.
 No pair is compared twice. A round joins what it finds to the groups there are, without looking at older links.
 
 Null text has no lines. Rows equal in doc_id and text share one decision, so an exact repeat of a row keeps what the row
@@ -41,9 +42,8 @@ class Fuzzy:
     gram_blocks: int = 14
     ahead: int = 8  # words that an insertion or deletion may have to be found at once
     shared_blocks: int = 2
-    pivots: int = 2  # of a block in the first round
-    growth: int = 4
-    at_once: int = 64  # pairs for each row of an open block, up to which all that is left is compared in one round
+    pivots: int = 2  # rounds in which classes meet one of their key's largest group, at least
+    growth: int = 4  # another such round follows one in which more than one in so many pairs was a link
 
 
 GRAM = 6
@@ -141,61 +141,104 @@ def linked(pairs: DataFrame, texts: DataFrame, p: Fuzzy) -> DataFrame:
     return both.filter((cost <= F.col("room")) | within).select(*pairs.columns)
 
 
-def sharing(pairs: DataFrame, sketches: DataFrame, p: Fuzzy) -> DataFrame:
-    """The pairs that share blocks enough, and how many (``shared``)."""
-    both = pairs.join(sketches.select(F.col("id").alias("a"), F.col("blocks").alias("x")), "a").join(sketches.select(F.col("id").alias("b"), F.col("blocks").alias("y")), "b")
-    return both.withColumn("shared", F.size(F.array_intersect("x", "y"))).filter(F.col("shared") >= p.shared_blocks).select(*pairs.columns, "shared")
+def doubles(blocks: Column) -> Column:
+    """A hash for each two of the blocks, which are in order."""
+    return F.flatten(F.transform(blocks, lambda x, i: F.transform(F.slice(blocks, i + 2, F.size(blocks)), lambda y: F.xxhash64(x, y))))
+
+
+def alike(n: Column, m: Column, p: Fuzzy) -> Column:
+    """Whether lines of these lengths can link."""
+    return F.abs(n - m) <= F.floor(F.greatest(n, m) * (1 - p.similarity) + 1e-9)
+
+
+def meetings(rows: DataFrame, turn: int) -> DataFrame:
+    """rows (key, id, n, comp) of the keys with more than one group, beside one class of the key's largest group, another each turn."""
+    groups = rows.groupBy("key", "comp").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n")).alias("one"))
+    most = groups.groupBy("key").agg(F.max(F.struct("size", "comp", F.col("one.id").alias("id"), F.col("one.n").alias("n"))).alias("most"), F.count("*").alias("groups"))
+    most = most.filter("groups > 1").select("key", F.col("most.comp").alias("major"), F.col("most.id").alias("pivot"), F.col("most.n").alias("pivot_n"))
+    return rows.join(most, "key")
+
+
+def stars(rows: DataFrame, p: Fuzzy) -> DataFrame:
+    """For each class outside of a key's largest group the pivot that it shares most keys with: a, b and their groups."""
+    votes = rows.filter((F.col("comp") != F.col("major")) & alike(F.col("n"), F.col("pivot_n"), p)).groupBy("id", "pivot").agg(F.count("*").alias("votes"), F.first("comp").alias("comp"), F.first("major").alias("major"))
+    best = votes.groupBy("id").agg(F.max(F.struct("votes", "pivot", "comp", "major")).alias("best"))
+    return ordered(best.select(F.struct("id", F.col("best.comp").alias("comp")).alias("x"), F.struct(F.col("best.pivot").alias("id"), F.col("best.major").alias("comp")).alias("y"))).distinct()
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    """a, b, comp_a and comp_b of pairs of structs x and y."""
+    first, last = F.least("x", "y"), F.greatest("x", "y")
+    return pairs.select(first["id"].alias("a"), last["id"].alias("b"), first["comp"].alias("comp_a"), last["comp"].alias("comp_b"))
+
+
+def remainder(rows: DataFrame, sketches: DataFrame, p: Fuzzy) -> DataFrame:
+    """All pairs of classes of different groups that meet in a key and can link, each once: where its first two common blocks are."""
+    rows = rows.join(sketches.select("id", "blocks"), "id")
+    side = lambda d, name: d.select("key", F.struct("id", "comp").alias(name), F.col("n").alias(f"n{name}"), F.col("blocks").alias(f"b{name}"), F.col("major").alias(f"m{name}"))
+    once = (F.col("y.comp") == F.col("my")) | (F.col("x.id") < F.col("y.id"))
+    here = let(F.array_intersect("bx", "by"), lambda b: F.xxhash64(F.get(b, F.lit(0)), F.get(b, F.lit(1)))) == F.col("key")
+    left, right = side(rows.filter("comp <> major"), "x"), side(rows, "y")
+    met = left.withColumnRenamed("key", "k").join(right, (F.col("k") == F.col("key")) & (F.col("x.comp") != F.col("y.comp")) & once & alike(F.col("nx"), F.col("ny"), p) & here)
+    return ordered(met)
+
+
+def relabelled(rows: DataFrame, moved: DataFrame, *names: str) -> DataFrame:
+    """``rows`` with the groups in ``names`` as ``moved`` (node, comp) has them now."""
+    for name in names:
+        to = moved.select(F.col("node").alias(name), F.col("comp").alias("__to"))
+        rows = rows.join(to, name, "left").withColumn(name, F.coalesce("__to", name)).drop("__to")
+    return rows
 
 
 def link_classes(members: DataFrame, texts: DataFrame, p: Fuzzy) -> DataFrame:
-    """node and comp of every class that is linked with another, from blocks (block, id, pivot)."""
-    sketches = keep(members.groupBy("id").agg(F.collect_list("block").alias("blocks")).filter(F.size("blocks") >= p.shared_blocks), "lines-sketches")
-    members = keep(members.join(sketches.select("id"), "id", "left_semi"), "lines-able")
-    votes = members.filter("pivot < id").groupBy("id", "pivot").agg(F.count("*").alias("votes")).filter(F.col("votes") >= p.shared_blocks)
-    stars = votes.groupBy("id").agg(F.max(F.struct("votes", "pivot")).alias("best")).select(F.col("best.pivot").alias("a"), F.col("id").alias("b"))
-    tested = keep(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "lines-tested")
-    comps = components(keep(linked(tested, texts, p), "lines-links"), "lines")
-    open_ = members.select("block", "id").join(comps.withColumnRenamed("node", "id"), "id", "left").select("block", "id", F.coalesce("comp", "id").alias("comp"))
-    most, turn, last = p.pivots * p.growth, 0, False
-    while not last:
-        open_ = keep(open_, "lines-labelled")
-        sizes = open_.groupBy("block", "comp").agg(F.count("*").alias("size"))
-        mixed = sizes.groupBy("block").agg(F.sum("size").alias("m"), F.count("*").alias("comps"), F.max("size").alias("most"), F.max_by("comp", "size").alias("major"))
-        mixed = mixed.filter("comps > 1").select("block", "major", (F.col("m") - F.col("most")).alias("others"))
-        rows = keep(open_.join(mixed, "block"), "lines-open")
-        left = rows.agg(F.count("*").alias("rows"), F.sum("others").alias("pairs")).first()
-        if not left["rows"]:
-            break
-        best, last = turn == 0, turn > 0 and left["pairs"] <= p.at_once * left["rows"]
-        # all of the classes outside the largest group, or about ``most`` of them by their hashes
-        pivot = F.col("comp") != F.col("major")
-        pivot = pivot if last else pivot & (F.pmod(F.xxhash64("id", F.lit(turn)), F.col("others")) < most)
-        chosen = rows.filter(pivot).select("block", F.struct("id", "comp").alias("y"))
-        pairs = rows.select("block", F.struct("id", "comp").alias("x")).join(chosen, "block").filter("x.comp <> y.comp")
-        pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct().select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.comp").alias("comp_a"), F.col("y.comp").alias("comp_b"))
-        pairs = sharing(pairs.join(tested, ["a", "b"], "left_anti"), sketches, p)
-        if best:
-            groups = F.least("comp_a", "comp_b"), F.greatest("comp_a", "comp_b")
-            pairs = pairs.groupBy(*groups).agg(F.max(F.struct("shared", "a", "b", "comp_a", "comp_b")).alias("best")).select("best.*")
-        pairs = keep(pairs.select("a", "b", "comp_a", "comp_b"), "lines-pairs")
-        tested = tested.unionByName(pairs.select("a", "b"))
+    """node and comp of every class that is linked with another, from shared blocks (block, id)."""
+    lengths = texts.select("id", F.char_length("norm").alias("n")).filter(F.col("n") >= p.min_chars)
+    sketches = members.groupBy("id").agg(F.sort_array(F.collect_list("block")).alias("blocks")).filter(F.size("blocks") >= p.shared_blocks)
+    sketches = keep(sketches.join(lengths, "id"), "lines-sketches")
+    rows = sketches.select(F.explode(doubles(F.col("blocks"))).alias("key"), "id", "n", F.col("id").alias("comp"))
+
+    def joined(pairs: DataFrame, comps: DataFrame | None) -> tuple[int, DataFrame | None, DataFrame]:
+        """How many links were found, what they move to another group, and all groups."""
         links = keep(linked(pairs, texts, p).select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).distinct(), "lines-links")
-        open_ = rows if best else rows.filter(~pivot & (F.col("others") > most))
-        if not links.isEmpty():
-            moved = components(links, "lines").select("node", F.col("comp").alias("to"))
-            alone = moved.join(comps, "node", "left_anti").select("node", F.col("to").alias("comp"))
-            comps = keep(comps.join(moved.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")).unionByName(alone), "lines-groups")
-            open_ = open_.join(moved.withColumnRenamed("node", "comp"), "comp", "left").withColumn("comp", F.coalesce("to", "comp"))
-        open_ = open_.select("block", "id", "comp")
-        most, turn = p.pivots if best else most * p.growth, turn + 1
-    return comps
+        found = links.count()
+        if comps is None:
+            moved = comps = components(links, "lines")
+        elif found:
+            moved = components(links, "lines")
+            comps = keep(relabelled(comps, moved, "comp").select("node", "comp").unionByName(moved.join(comps, "node", "left_anti")), "lines-groups")
+        else:
+            moved = None
+        return found, moved, comps
+
+    tested, comps, turn = None, None, 0
+    while True:
+        rows = keep(meetings(rows, turn), "lines-open")
+        pairs = stars(rows, p)
+        pairs = keep(pairs.join(tested, ["a", "b"], "left_anti") if tested else pairs, "lines-pairs")
+        tested = tested.unionByName(pairs.select("a", "b")) if tested else pairs.select("a", "b")
+        found, moved, comps = joined(pairs, comps)
+        rows = rows.select("key", "id", "n", "comp")
+        rows = relabelled(rows, moved, "comp") if moved else rows
+        turn += 1
+        if turn >= p.pivots and found * p.growth <= pairs.count():
+            break
+    pairs = remainder(keep(meetings(rows, turn), "lines-open"), sketches, p).join(tested, ["a", "b"], "left_anti")
+    pairs = keep(pairs, "lines-pairs")
+    groups = F.least("comp_a", "comp_b"), F.greatest("comp_a", "comp_b")
+    first = keep(pairs.groupBy(*groups).agg(F.min_by(F.struct("a", "b", "comp_a", "comp_b"), F.xxhash64("a", "b")).alias("one")).select("one.*"), "lines-first")
+    if 2 * first.count() <= pairs.count():  # else the round saves little
+        _, moved, comps = joined(first, comps)
+        pairs = pairs.join(first.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = keep(relabelled(pairs, moved, "comp_a", "comp_b").filter("comp_a <> comp_b") if moved else pairs, "lines-pairs")
+    return joined(pairs, comps)[2]
 
 
 def decisions(docs: DataFrame, p: Fuzzy = Fuzzy()) -> DataFrame:
     """doc_id, key and line_no of every line that goes: it is not the first occurrence of its group."""
     seen = keep(sketched(numbered(docs), p), "lines-seen")
     members = seen.select("id", F.explode("blocks").alias("block"))
-    ends = members.groupBy("block").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).filter("pivot < last").select("block", "pivot")
+    ends = members.groupBy("block").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("block")
     ends = keep(ends, "lines-ends")
     side = F.broadcast(ends) if ends.count() * 40 <= SMALL else ends  # checked: else the join shuffles
     members = keep(members.join(side, "block").distinct(), "lines-members")

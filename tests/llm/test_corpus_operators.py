@@ -295,6 +295,17 @@ def test_rounds_are_few(spark, monkeypatch):
     assert len(compared) <= 3 and len(made) <= 2
 
 
+def test_lines_of_unlike_lengths_never_meet(spark, monkeypatch):
+    """Lines with the same rare words, each a third longer than the one before, make no pair."""
+    dice = random.Random(4)
+    rare = " ".join(f"extraordinarily{c}" for c in "abcde")
+    rows = [(i, rare + " " + " ".join("".join(dice.choice("etaoinshr") for _ in range(7)) for _ in range(int(6 * 1.6**i)))) for i in range(8)]
+    seen, linked = [], lines.linked
+    monkeypatch.setattr(lines, "linked", lambda pairs, texts, p: (seen.extend(map(tuple, pairs.select("a", "b").collect())), linked(pairs, texts, p))[1])
+    assert lines.decisions(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+    assert seen == []
+
+
 def test_lines_odd_rows(docs, odd_rows, empty):
     out = lines.dedup(docs)
     assert out.columns == docs.columns and out.count() == len(odd_rows)
