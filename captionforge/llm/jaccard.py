@@ -6,10 +6,12 @@ their prefixes of n - ceil(t n) + overlap elements share at least ``overlap``. R
 corpus's most frequent shingles comes last, the rest in order of their hashes. Each prefix shingle is a block.
 
 A block's least class is its first pivot. Links to pivots make components; only blocks with several components are
-joined further. Small ones are joined in full. Larger ones form families, and pivots divide a family's metric space
-(Jaccard distance is a metric) into Voronoi regions, these into cells of bounded size; triangle-inequality windows
-bring to each cell the boundary classes from elsewhere that could link into it. No pair within the threshold is lost,
-and pairs inside a component are never built.
+joined further. Small ones are joined in full. Linked classes that only meet in larger ones share ``overlap`` of these,
+two at least, so pairs of a class's larger blocks are its new blocks, of which the small ones are joined in full again.
+What is still large is real nearness, not a common phrase in texts that are otherwise unlike: such blocks form families,
+and pivots divide a family's metric space (Jaccard distance is a metric) into Voronoi regions, these into cells of
+bounded size; triangle-inequality windows bring to each cell the boundary classes from elsewhere that could link into
+it. No pair within the threshold is lost, and pairs inside a component are never built.
 
 Null and empty texts have no shingle and link with nothing; each is its own component. Repeated rows, and ties, belong
 to one class. A text of any length has one set of all its shingles. Sets and classes are held by 64-bit hashes, equal
@@ -43,9 +45,13 @@ class Join:
     frequent: int = 1 << 17  # shingles in the list of those that come last (1.2 MB)
     local: int = 4  # documents of one task's run that hold a shingle, for it to be counted
     small_block: int = 32
+    new_block: int = 8  # the same for pairs of large blocks; near copies share many of those, so less is joined in full
     pivots: int = 8
-    cell: int = 256  # classes of a region that are joined together
-    part: int = 1024  # and with so many others
+    wide: int = 64  # large blocks of a class of which all pairs are new blocks; with more, each stands alone
+    cell: int = 4096  # classes of a region that are joined together
+    part: int = 16384  # and with so many others
+    cell_shingles: int = 1 << 19  # that the cell's classes hold
+    part_shingles: int = 1 << 20  # and the others
 
     @property
     def distance(self) -> float:
@@ -94,9 +100,16 @@ def profiles(docs: DataFrame, p: Join) -> DataFrame:
     return docs.mapInArrow(run, "kind int, doc_id long, key long, cid long, n long")
 
 
-def needed_overlap(n):
-    """Prefix shingles that two linked sets must share; n: size of the smaller (numpy or Column)."""
-    return n // 32 + 1 if not isinstance(n, Column) else F.floor(n / 32) + 1
+def must_share(n, p: Join):
+    """Shingles that a set of n shares with any that it links with, and so their least size (int or Column)."""
+    return -(-p.percent * n // 100) if not isinstance(n, Column) else F.floor((n * p.percent + 99) / 100)
+
+
+def needed_overlap(n, p: Join):
+    """Prefix shingles that two linked sets must share; n: size of the smaller (int or Column)."""
+    if isinstance(n, Column):
+        return F.least(must_share(n, p), F.greatest(F.lit(2), F.floor(n / 32) + 1))
+    return min(must_share(n, p), max(2, n // 32 + 1))
 
 
 def prefixes(docs: DataFrame, frequent: np.ndarray, weights: np.ndarray, p: Join) -> DataFrame:
@@ -115,8 +128,7 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, weights: np.ndarray, p: Join
                     if len(seen) < 1_000_000:
                         seen.add(c)
                     n = len(x)
-                    must = -(-p.percent * n // 100)
-                    length = n - must + min(must, needed_overlap(n))
+                    length = n - must_share(n, p) + needed_overlap(n, p)
                     if len(common):
                         at = np.minimum(np.searchsorted(common, x), len(common) - 1)
                         w = np.where(common[at] == x, weight[at], 0)
@@ -170,12 +182,50 @@ def compared(pairs: DataFrame, texts: DataFrame, p: Join) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, both long, either long")
 
 
+def pairs_in(blocks: DataFrame, p: Join) -> DataFrame:
+    """a, b and n (of the smaller) of classes in one block, of two components and of sizes that permit a link."""
+    side = lambda x: blocks.select("block", F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("comp").alias(f"c{x}"))
+    n = F.least("na", "nb")
+    return side("a").join(side("b"), "block").filter("a < b and ca <> cb").filter(n * 100 >= F.greatest("na", "nb") * p.percent).select("a", "b", n.alias("n"))
+
+
+def large_blocks(large: DataFrame, p: Join) -> DataFrame:
+    """size (large blocks of a class), and of these, rarest first, the ``first``.
+
+    Classes that share ``least`` of their large blocks share two of the first, and one of the first without the last;
+    with ``least`` 1, ``first`` is all of them. With fewer than ``least`` there is none.
+    """
+    each = large.groupBy("cid", "n", "comp").agg(F.array_sort(F.collect_list(F.struct("m", "block"))).alias("at")).withColumn("size", F.size("at"))  # of a prefix at most
+    least = needed_overlap(must_share(F.col("n"), p), p).cast("int")
+    some = F.when(F.col("size") >= least, F.slice("at", F.lit(1), F.col("size") - least + 2)).otherwise(F.slice("at", F.lit(1), F.lit(0)))
+    return each.select("cid", "n", "comp", "size", least.alias("least"), F.transform(some, lambda x: x["block"]).alias("first"), (F.size(some) > p.wide).alias("wide"))
+
+
+def new_blocks(common: DataFrame) -> DataFrame:
+    """block, cid, n, comp, pivot (the block's least class) and m (its classes) of new blocks with several components.
+
+    A block is a pair of a class's first large blocks. Where a class has too many for that, and where one shared block
+    is all that a link needs, it is a large block itself.
+    """
+    row = ["cid", "n", "comp"]
+    narrow = common.filter(~F.col("wide"))
+    rest = lambda x, i: F.transform(F.slice("first", i + 2, F.size("first")), lambda y: F.xxhash64(x, y))
+    made = narrow.select(*row, F.explode(F.flatten(F.transform("first", rest))).alias("block"))
+    alone = F.when(F.col("least") > 1, F.slice("first", F.lit(1), F.greatest(F.size("first") - 1, F.lit(0)))).otherwise(F.col("first"))
+    each = common.select(*row, "least", "wide", F.explode(alone).alias("at"))
+    broad = each.join(each.filter("wide").select("at").distinct(), "at", "left_semi").select(*row, F.xxhash64("at", F.lit("wide")).alias("block"))
+    single = each.filter("least = 1").select(*row, F.xxhash64("at", F.lit("single")).alias("block"))
+    whole = Window.partitionBy("block")
+    found = made.unionByName(broad).unionByName(single).select("block", *row, F.min("comp").over(whole).alias("lo"), F.max("comp").over(whole).alias("hi"), F.min("cid").over(whole).alias("pivot"), F.count("*").over(whole).alias("m"))
+    return found.filter("lo < hi").drop("lo", "hi")
+
+
 def link_classes(members: DataFrame, texts: DataFrame, p: Join) -> DataFrame:
     """cid and comp of every class that links with another, from blocks (block, cid, n)."""
     close = F.col("both") * 100 >= F.col("either") * p.percent
     ends = members.groupBy("block").agg(F.min("cid").alias("pivot"), F.max("cid").alias("last")).filter("pivot < last").select("block", "pivot")
     open_ = keep(members.join(ends, "block"), "jaccard-blocks")
-    votes = open_.filter("cid <> pivot").groupBy("cid", "n", "pivot").agg(F.count("*").alias("votes")).filter(F.col("votes") >= needed_overlap(F.col("n")))
+    votes = open_.filter("cid <> pivot").groupBy("cid", "n", "pivot").agg(F.count("*").alias("votes")).filter(F.col("votes") >= needed_overlap(F.col("n"), p))
     stars = votes.groupBy("cid").agg(F.max(F.struct("votes", "pivot")).alias("best")).select(F.col("best.pivot").alias("a"), F.col("cid").alias("b"))
     links = keep(compared(stars, texts, p).filter(close).select("a", "b"), "jaccard-links")
     comps = components(links, "jaccard")
@@ -183,11 +233,15 @@ def link_classes(members: DataFrame, texts: DataFrame, p: Join) -> DataFrame:
     mixed = labelled.groupBy("block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).filter("lo < hi").select("block", "m")
     open_ = keep(labelled.join(mixed, "block"), "jaccard-open")
     small, large = open_.filter(F.col("m") <= p.small_block), open_.filter(F.col("m") > p.small_block)
-    side = lambda x: small.select("block", F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("comp").alias(f"c{x}"))
-    pairs = side("a").join(side("b"), "block").filter("a < b and ca <> cb").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * p.percent)
-    # a pair that also shares a large block is met there, so all that it shares is counted here
-    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("votes")).filter(F.col("votes") >= needed_overlap(F.least("na", "nb")))
-    found = compared(pairs.select("a", "b"), texts, p).filter(close).select("a", "b").unionByName(in_regions(large, texts, p))
+    common = keep(large_blocks(large, p), "jaccard-large")
+    again = keep(new_blocks(common), "jaccard-again")
+    few, many = again.filter(F.col("m") <= p.new_block), again.filter(F.col("m") > p.new_block)
+    votes = pairs_in(small, p).groupBy("a", "b", "n").agg(F.count("*").alias("votes"))
+    size = lambda x: common.select(F.col("cid").alias(x), F.col("size").alias(f"s{x}"))
+    more = F.least(F.coalesce("sa", F.lit(0)), F.coalesce("sb", F.lit(0)))  # a pair may share so many large blocks besides
+    pairs = votes.join(size("a"), "a", "left").join(size("b"), "b", "left").filter(F.col("votes") + more >= needed_overlap(F.col("n"), p))
+    pairs = pairs.select("a", "b").unionByName(pairs_in(few, p).select("a", "b")).distinct()
+    found = compared(pairs, texts, p).filter(close).select("a", "b").unionByName(in_regions(many, texts, p))
     links = keep(links.unionByName(found), "jaccard-links")
     return components(links, "jaccard").withColumnRenamed("node", "cid")
 
@@ -200,7 +254,7 @@ def in_regions(large: DataFrame, texts: DataFrame, p: Join) -> DataFrame:
     the triangle inequality a class can only link into a cell if it is, for every pivot, within the threshold distance
     of the cell's own range of distances: to those cells it goes, in bounded parts. Every cell and part is one join.
     """
-    by_family = components(large.select(F.xxhash64("block", F.lit("block")).alias("a"), F.col("cid").alias("b")), "jaccard-families")
+    by_family = components(large.select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct(), "jaccard-families")
     members = large.select("cid", "n", "comp").distinct().join(by_family.select(F.col("node").alias("cid"), F.col("comp").alias("family")), "cid")
     members = keep(members, "jaccard-family")
     sizes = members.groupBy("family", "comp").agg(F.count("*").alias("m"))
@@ -216,12 +270,13 @@ def in_regions(large: DataFrame, texts: DataFrame, p: Join) -> DataFrame:
 
     home = F.array_position("at", F.array_min("at"))
     others = away.join(major, "family").filter("comp <> major").withColumn("home", home)
-    order = Window.partitionBy("family", "home").orderBy("cid")
-    others = keep(others.withColumn("cell", F.floor((F.row_number().over(order) - 1) / p.cell)).select("family", "home", "cell", "cid", "comp", "at"), "jaccard-cells")
+    share = lambda rows, shingles: F.greatest(F.lit(1 / rows), F.col("n") / shingles)  # noqa: E731  what a class takes of a cell or part
+    order = Window.partitionBy("family", "home").orderBy("cid").rowsBetween(Window.unboundedPreceding, -1)
+    others = keep(others.withColumn("cell", F.floor(F.coalesce(F.sum(share(p.cell, p.cell_shingles)).over(order), F.lit(0.0)) + 1e-9)).select("family", "home", "cell", "cid", "comp", "at"), "jaccard-cells")
     each = others.select("family", "home", "cell", F.posexplode("at").alias("k", "d")).groupBy("family", "home", "cell", "k").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
     boxes = each.groupBy("family", "home", "cell").agg(F.array_sort(F.collect_list(F.struct("k", "lo", "hi"))).alias("box"))
-    part = F.pmod(F.xxhash64("cid"), F.greatest(F.ceil(F.col("size") / p.part), F.lit(1)))
-    sized = away.join(members.groupBy("family").agg(F.count("*").alias("size")), "family").withColumn("part", part)
+    part = F.pmod(F.xxhash64("cid"), F.greatest(F.ceil(F.col("size")), F.lit(1)))
+    sized = away.join(members.groupBy("family").agg(F.sum(share(p.part, p.part_shingles)).alias("size")), "family").withColumn("part", part)
     fits = F.forall(F.arrays_zip("at", "box"), lambda x: (x["at"] >= x["box"]["lo"] - p.distance - 1e-9) & (x["at"] <= x["box"]["hi"] + p.distance + 1e-9))
     asked = keep(sized.join(boxes, "family").filter(fits).select("family", "home", "cell", "part", "cid", "comp"), "jaccard-asked")
     parts = asked.select("family", "home", "cell", "part").distinct()
@@ -275,12 +330,15 @@ def labels_of(docs: DataFrame, p: Join = Join()) -> DataFrame:
     order = np.argsort(tokens)
     weights = (np.log2(np.maximum(top["n"].to_numpy("f8"), 1)) + 1).astype("u1")
     members = keep(prefixes(rows, tokens[order], weights[order], p), "jaccard-members")
-    ends = members.groupBy("block").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).filter("lo < hi").select("block")
-    shared = keep(members.join(ends, "block", "left_semi").distinct(), "jaccard-shared")
-    live = shared.groupBy("cid", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= needed_overlap(F.col("n"))).select("cid")
+    block = Window.partitionBy("block")
+    ends = members.select("block", "cid", "n", F.min("cid").over(block).alias("lo"), F.max("cid").over(block).alias("hi"))
+    shared = keep(ends.filter("lo < hi").select("block", "cid", "n").distinct(), "jaccard-shared")  # rows are dealt once
+    live = shared.groupBy("cid", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= needed_overlap(F.col("n"), p)).select("cid")
     live = keep(live, "jaccard-live")
     members = shared.join(live, "cid", "left_semi")
     place = own.join(live, "cid", "left_semi").groupBy("cid").agg(F.min(F.struct("doc_id", "key")).alias("at")).select("cid", F.col("at.doc_id").alias("d"), F.col("at.key").alias("k"))
+    place = keep(place, "jaccard-places")
+    place = F.broadcast(place) if place.count() * 24 <= 32 << 20 else place  # checked: else all texts are shuffled
     packed = packed_texts(rows.select("doc_id", "key", "text"))
     texts = packed.join(place, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).select("cid", "packed").dropDuplicates(["cid"])
     comps = link_classes(members, keep(texts, "jaccard-texts"), p)

@@ -83,6 +83,40 @@ def test_jaccard(spark, small_block, pivots):
     assert got == {i: (len(sets[i]), groups.find(i)) for i, _ in rows}
 
 
+@pytest.mark.parametrize("wide", [64, 3])
+def test_jaccard_large_blocks(spark, wide):
+    """Blocks of any size, classes with many large blocks, cells bounded by shingles."""
+    rows = list(enumerate(near_corpus(random.Random(21), copies=40)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    p = jaccard.Join(words=4, percent=85, local=10**9, small_block=3, new_block=4, pivots=3, wide=wide, cell_shingles=500, part_shingles=1500)
+    sets, groups = jaccard_groups(rows, 4, 85)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components_of(docs, p).collect()} == {i: (len(sets[i]), groups.find(i)) for i, _ in rows}
+
+
+def test_jaccard_low_threshold(spark):
+    """Sets of a few words that link by one shared word alone."""
+    rng = random.Random(22)
+    rows = [(i, " ".join(f"w{rng.randrange(150)}" for _ in range(rng.randrange(1, 7)))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    p = jaccard.Join(words=1, percent=45, local=10**9, small_block=2, pivots=2)
+    sets, groups = jaccard_groups(rows, 1, 45)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.components_of(docs, p).collect()} == {i: (len(sets[i]), groups.find(i)) for i, _ in rows}
+
+
+def test_common_phrases_are_no_family(spark, monkeypatch):
+    """Unlike texts with a common phrase or two, which chains of phrases join into one family, aren't dealt to its cells."""
+    rng = random.Random(23)
+    phrases = [" ".join(f"p{k}x{j}" for j in range(4)) for k in range(10)]
+    texts = [" ".join([*(f"u{rng.randrange(10**9)}" for _ in range(20)), *rng.sample(phrases, 2)]) for _ in range(300)]
+    rows = list(enumerate([*texts, *(f"{t} end" for t in texts[:20])]))
+    dealt, inner = [], jaccard.in_regions
+    monkeypatch.setattr(jaccard, "in_regions", lambda large, *a: dealt.append(large.count()) or inner(large, *a))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in jaccard.components_of(docs, jaccard.Join(words=4, percent=85, local=10**9, small_block=16, new_block=16)).collect()}
+    assert got == {i: i if i < 300 else i - 300 for i, _ in rows}
+    assert dealt == [0]
+
+
 def test_jaccard_odd_rows(spark, docs, odd_rows, empty):
     got = jaccard.components_of(docs).collect()
     assert len(got) == len(odd_rows)
